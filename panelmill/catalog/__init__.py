@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scans", "labelling"]
+MODULES = ["scans", "labelling", "panels", "learning", "streams"]
 
 
 def _load():

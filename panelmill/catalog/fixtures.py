@@ -29,6 +29,8 @@ REGEX_RULES = {"男性": ["^th", "tion[a-z]{0,3} the"],
                "女性": ["[.]\nthe", "(und|oder) die", "[0-9]{3}"],
                "學生": ["[a-z]{12}"]}
 SITES = {"view": "WH_F0045", "click": "WH_F0165", "purchase": "WH_F0001", "signup": "WH_F0157"}
+# Old snapshots also hold authors of a site that has no posts now.
+OLD_SITES = {"view": "WH_F0045", "click": "WH_F0072", "purchase": "WH_F0001"}
 SITE_SOURCES = {"WH_F0045": "fbfans", "WH_F0165": "fbgroup", "WH_F0001": "Ptt", "WH_F0157": "Instagram"}
 TERMS = {"fr": [("eaux", 0.9), ("la ", 0.4), ("tion", 0.05)],
          "de": [("und", 0.8), ("die", 0.7), ("heit", 0.6), ("en", 0.1)],
@@ -142,10 +144,10 @@ def _panel_case(panels: list[str]) -> str:
 
 def old_snapshot(term: str = "GENDER") -> str:
     return f"""old AS (SELECT DISTINCT CASE e.event_type WHEN 'purchase' THEN 'bbs' ELSE 'fb' END AS prod_group,
-  concat({case('e.event_type', SITES)}, '_user ', e.user_id, CASE WHEN e.user_id % 5 = 0 THEN ' ' ELSE '' END)
+  concat({case('e.event_type', OLD_SITES)}, '_user ', e.user_id, CASE WHEN e.user_id % 5 = 0 THEN ' ' ELSE '' END)
    AS source_author,
   {_panel_case(CONFLICT_GROUPS[term])} AS panel, TIMESTAMP '2023-01-01' AS create_time
- FROM events e WHERE e.event_type IN ('purchase', 'view') AND e.value > 100)"""
+ FROM events e WHERE e.event_type IN ('purchase', 'view', 'click') AND e.value > 100)"""
 
 
 def group_current(rules: dict = GENDER_RULES) -> str:
@@ -278,11 +280,11 @@ def weekly_state(prod: DataFrame) -> DataFrame:
 
 def old_df(spark: SparkSession, sf: str, term: str = "GENDER") -> DataFrame:
     p = CONFLICT_GROUPS[term]
-    e = table(spark, sf, "events").where(F.col("event_type").isin("purchase", "view") & (F.col("value") > 100))
+    e = table(spark, sf, "events").where(F.col("event_type").isin("purchase", "view", "click") & (F.col("value") > 100))
     u = F.col("user_id")
     return e.select(
         F.when(F.col("event_type") == "purchase", "bbs").otherwise("fb").alias("prod_group"),
-        F.concat(_map("event_type", SITES), F.lit("_user "), u.cast("string"),
+        F.concat(_map("event_type", OLD_SITES), F.lit("_user "), u.cast("string"),
                  F.when(u % 5 == 0, " ").otherwise("")).alias("source_author"),
         F.when(u % 4 == 0, p[0]).when(u % 4 == 1, p[1]).when(u % 4 == 2, "/young").otherwise("/employee").alias("panel"),
         F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("create_time")).distinct()

@@ -251,13 +251,13 @@ def term_weight_matches(spark, sf):
     return m.select("id", "m.label", F.explode("m.matches").alias("t")).select("id", "label", "t.*")
 
 
-@query("term_weight_table", f"WITH {TW} SELECT id, label, round(score, 6) AS score, n_terms FROM scores")
+@query("term_weight_table", f"WITH {TW} SELECT id, label, round(score, 9) AS score, n_terms FROM scores")
 def term_weight_table(spark, sf):
     """A dictionary that stays a table: equality join of text pieces with terms."""
     rows = [(label, t, w) for label, tw in fx.TERMS.items() for t, w in tw]
     terms = spark.createDataFrame(rows, "label string, term string, weight double")
     out = term_weight.score_with_table(fx.doc_posts(spark, sf), terms)
-    return out.select("id", "label", F.round("score", 6).alias("score"), "n_terms")
+    return out.select("id", "label", F.round("score", 9).alias("score"), "n_terms")
 
 
 @query("na_tag", f"""WITH {TW}, s AS (SELECT * FROM scores WHERE score > 0.7)

@@ -98,7 +98,7 @@ def _clean_by_label(df: DataFrame, keys: list[str], tie: str, labels: list[str],
     winner = label_winner([F.col(f"_n{i}") for i in range(len(labels))], tie)
     row = F.array(*[F.col(f"_r{i}") for i in range(len(labels))])
     return (wide.withColumn("_w", winner).where("_w IS NOT NULL")
-                .select(*keys, AUTHOR, F.element_at(F.lit(labels), F.col("_w") + 1).alias("panel"),
+                .select(*keys, AUTHOR, F.get(F.lit(labels), F.col("_w")).alias("panel"),
                         F.get(row, F.col("_w")).alias("_row"))
                 .select(*keys, AUTHOR, "panel", "_row.*"))
 

@@ -27,12 +27,13 @@ def _mean_weight(found: Column) -> Column:
 def matches(terms: Mapping[str, Sequence], target: str = "content") -> Column:
     """All labels with a found term: array of (label, matches, score).  The text is compared as
     written; letters keep their case."""
+    def one(t, label, tw):
+        return let(_found(t, tw), lambda f: F.struct(
+            F.lit(label).alias("label"), f.alias("matches"), _mean_weight(f).alias("score")))
+
     def body(t):
-        per_label = []
-        for label, tw in terms.items():
-            per_label.append(let(_found(t, tw), lambda f, label=label: F.struct(
-                F.lit(label).alias("label"), f.alias("matches"), _mean_weight(f).alias("score"))))
-        return F.filter(F.array(*per_label), lambda r: F.size(r["matches"]) > 0)
+        return F.filter(F.array(*[one(t, label, tw) for label, tw in terms.items()]),
+                        lambda r: F.size(r["matches"]) > 0)
     return let(F.col(target_name(target)), body)
 
 
@@ -48,12 +49,13 @@ def labels(terms: Mapping[str, Sequence], target: str = "content", threshold: fl
 def score_with_table(posts: DataFrame, terms: DataFrame, target: str = "content") -> DataFrame:
     """Scores (id, label, score, n_terms) for a dictionary that stays a table.
 
-    Each text is cut once into its pieces of the dictionary's term lengths, with the places of each
-    piece; an equality join with the dictionary replaces a scan per term.
+    Places of the terms come from an equality join (see operators.rule_join.find_words) instead of a
+    scan per term; the places of one term in one text are counted without overlaps.
     """
-    from panelmill.operators.rule_join import text_pieces
-    found = (text_pieces(posts, terms.select("term"), "term", target, with_places=True)
-             .join(terms, F.col("piece") == F.col("term")))
+    from panelmill.operators.rule_join import find_words
+    found = (find_words(posts, terms, "term", target, places=True)
+             .groupBy("id", "label", "term").agg(F.first("weight").alias("weight"),
+                                                 F.array_sort(F.collect_list("place")).alias("places")))
     n = _non_overlapping(F.col("places"), F.length("term"))
     return (found.withColumn("n", n).groupBy("id", "label")
                  .agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("score"),

@@ -52,12 +52,20 @@ def production_rows(results: DataFrame, spec: JobSpec) -> DataFrame:
     return task_votes(results, ["source"], spec.tie, panels_of(spec))
 
 
+def final_panel(column: str = "panel"):
+    """Final panel name; '' stays ''."""
+    return F.when(F.col(column) == "", "").otherwise(lab.panel_name(F.col(column)))
+
+
+def job_panels(rows: DataFrame, spec: JobSpec) -> DataFrame:
+    """Panel and counters per author straight from the labelled posts, without the written tables."""
+    slim = trimmed(rows.select("source", "slice", AUTHOR, final_panel().alias("panel")))
+    return metrics.author_panels(slim, panels_of(spec), tie=spec.tie)
+
+
 def job_metrics(rows: DataFrame, spec: JobSpec) -> DataFrame:
-    """Figures per source straight from the labelled posts, without the written tables."""
-    final = F.when(F.col("panel") == "", "").otherwise(lab.panel_name(F.col("panel")))
-    slim = trimmed(rows.select("source", "slice", AUTHOR, final.alias("panel")))
-    panels = metrics.author_panels(slim, panels_of(spec), tie=spec.tie)
-    return metrics.source_metrics(panels).withColumn("task_id", F.lit(spec.task_id))
+    """Figures per source of a job."""
+    return metrics.source_metrics(job_panels(rows, spec)).withColumn("task_id", F.lit(spec.task_id))
 
 
 def audit_row(spark: SparkSession, spec: JobSpec, seq: int, stat: str, **values) -> DataFrame:
