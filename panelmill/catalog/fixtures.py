@@ -12,6 +12,7 @@ from panelmill.constants import CONFLICT_GROUPS, LABEL_NAMES, PRODUCTION_GROUPS
 from panelmill.functions.slices import slice_index
 from panelmill.operators.clean import slice_votes, task_votes
 from panelmill.plans.tasks import labelled_posts, named, panels_of
+from panelmill.session import spread
 from panelmill.sources.rules import production_groups
 from panelmill.spec import JobSpec
 
@@ -209,6 +210,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts: the part of the input that all the work hangs on."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def _map(col: str, mapping: dict, other=None):
     c = F.lit(other)
     for k, v in reversed(mapping.items()):
@@ -217,8 +223,8 @@ def _map(col: str, mapping: dict, other=None):
 
 
 def posts(spark: SparkSession, sf: str, events: DataFrame | None = None, extra: tuple = ()) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    n = docs.count()
+    docs = documents(spark, sf)
+    n = table(spark, sf, "documents").count()
     e = table(spark, sf, "events") if events is None else events
     joined = (e.withColumn("_doc", F.col("event_id") % n)
                .join(docs.select(F.col("doc_id").alias("_doc"), "lang", "text"), "_doc"))
@@ -315,7 +321,7 @@ def rule_table_df(spark: SparkSession, sf: str) -> DataFrame:
 
 def training_df(spark: SparkSession, sf: str) -> DataFrame:
     q = F.when(F.col("quality") == 1, "good").otherwise("poor")
-    return (table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return (documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
             .select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), q.alias("label"),
                     F.when(F.col("toxic") == 1, F.array(q, F.lit("toxic"))).otherwise(F.array(q)).alias("labels"),
                     "lang"))
@@ -323,7 +329,7 @@ def training_df(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_posts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as posts: every text once."""
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"),
+    return documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"),
                                                 F.col("text").alias("content"), "lang", "source")
 
 

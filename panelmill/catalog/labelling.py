@@ -194,6 +194,18 @@ def label_by_model(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+LONG_RULES = {"男性": [(w, "partially") for w in ("hewhou", "atare", "ingof", "tionthe", "edis", "bleou", "ortion",
+                                                  "esnt", "reare", "theof")],
+              "女性": [(w, "partially") for w in ("eaux", "elle", "tre", "vie", "ueq", "lao")] + [("die", "start"), ("n.", "end")],
+              "青年": [("heit", "partially"), ("ción", "partially"), ("qu", "start")]}
+
+
+@query("first_label_many_rules", f"WITH {fx.POSTS} SELECT id, {fx.sql_first_label(LONG_RULES, 'content')} AS panel FROM posts")
+def first_label_many_rules(spark, sf):
+    """More keywords than are scanned for one by one."""
+    return lab.label_posts(fx.posts(spark, sf), "keyword_model", LONG_RULES).select("id", "panel")
+
+
 @query("spec_from_json", f"""SELECT CAST(event_id AS VARCHAR) AS id, 'keyword_model' AS model_type, event_type AS predict_type,
  date_trunc('second', ts) AS start_time, date_trunc('second', ts) + INTERVAL 6 HOUR AS end_time,
  concat('wh_', event_type) AS input_schema, 1 AS n_labels, concat('user ', user_id) AS first_keyword FROM events""")

@@ -249,7 +249,7 @@ TERM_DICT = r"""dict AS (SELECT lang AS label, term, round(count(*) / 100000.0,
 
 
 def term_dict_df(spark, sf):
-    t = fx.table(spark, sf, "documents").select(
+    t = fx.documents(spark, sf).select(
         F.col("lang").alias("label"), F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
     return t.groupBy("label", "term").agg(F.round(F.count("*") / F.lit(100000.0).cast("double"), 5).alias("weight"))
 

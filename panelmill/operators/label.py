@@ -118,6 +118,18 @@ def first_label(model: str, rules: Mapping, target: str = "content", case_sensit
     return body(text) if model == "rule_model" else let(text, body)
 
 
+def first_keyword_label(spark, rules: Mapping, target: str = "content", case_sensitive: bool = False) -> Column:
+    """``first_label`` for keyword rules of any number: with many "partially" keywords for the length of
+    the target, one automaton pass per text replaces one scan per keyword."""
+    from panelmill.operators import rule_join
+    kws = {name: keywords_by_type(rs, case_sensitive) for name, rs in rules.items()}
+    if not rule_join.automaton_pays(sum(len(k["partially"]) for k in kws.values()), target):
+        return first_label("keyword_model", rules, target, case_sensitive)
+    triples = [(no, w, kind) for no, k in enumerate(kws.values()) for kind, words in k.items() for w in words]
+    no = rule_join.first_label_no(triples, spark)(target_text(target, case_sensitive))
+    return F.coalesce(F.get(F.lit(list(kws)), no), F.lit(""))
+
+
 def label_posts(posts: DataFrame, model: str, rules, target: str = "content",
                 case_sensitive: bool = False, na_label: str | None = None) -> DataFrame:
     """Add ``panel`` by the model that a job names.
@@ -125,7 +137,9 @@ def label_posts(posts: DataFrame, model: str, rules, target: str = "content",
     ``rules`` is a rule mapping, a term dictionary ``label -> [(term, weight)]`` for
     ``term_weight_model``, or a fitted pipeline for ``random_forest_model``.
     """
-    if model in ("keyword_model", "rule_model"):
+    if model == "keyword_model":
+        return posts.withColumn("panel", first_keyword_label(posts.sparkSession, rules, target, case_sensitive))
+    if model == "rule_model":
         return posts.withColumn("panel", first_label(model, rules, target, case_sensitive))
     if model == "term_weight_model":
         labels = term_weight.labels(rules, target, na_label=na_label)

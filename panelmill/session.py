@@ -52,6 +52,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input of fewer splits than cores (a few unsplittable files) over all cores; an input
+    that has enough splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows; otherwise the join is
     left to Spark, which shuffles and lets AQE split skewed keys."""
