@@ -12,8 +12,9 @@ from panelmill.constants import CONFLICT_GROUPS, LABEL_NAMES, PRODUCTION_GROUPS
 from panelmill.functions.slices import slice_index
 from panelmill.operators.clean import slice_votes, task_votes
 from panelmill.plans.tasks import labelled_posts, named, panels_of
-from panelmill.session import spread
+from panelmill.session import spread, work_dir
 from panelmill.sources.rules import production_groups
+from panelmill.sources.tables import read_results, write_production
 from panelmill.spec import JobSpec
 
 START, END, NOW = datetime(2024, 1, 1), datetime(2024, 1, 31), datetime(2024, 2, 1, 12)
@@ -278,6 +279,13 @@ def production_df(spark: SparkSession, sf: str, rules: dict = GENDER_RULES) -> D
     return task_votes(results_df(spark, sf, rules), ["task_id", "source"], labels=panels_of(spec(rules)))
 
 
+def stored_production(spark: SparkSession, sf: str, rules: dict = GENDER_RULES) -> DataFrame:
+    """Production as a dump finds it: a written table."""
+    path = work_dir(spark, "production")
+    write_production(production_df(spark, sf, rules), path)
+    return read_results(spark, path)
+
+
 def weekly_state(prod: DataFrame) -> DataFrame:
     """State of the weekly tasks: the sources of a task are at most as many as there are sources."""
     return (prod.groupBy("task_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("result"))

@@ -287,7 +287,7 @@ OC = f"(SELECT * FROM o WHERE panel IN {G2})"
 
 
 def current(spark, sf, rules=fx.GENDER_RULES):
-    prod = fx.production_df(spark, sf, rules)
+    prod = fx.stored_production(spark, sf, rules)
     return dump.group_current(prod, fx.weekly_state(prod), fx.groups(spark))
 
 
@@ -387,7 +387,7 @@ def dump_group(spark, sf):
 
 @query("dump_gender", f"WITH {fx.group_current()}, {fx.old_snapshot()}, {fx.merge()} SELECT {SNAP} FROM merged")
 def dump_gender(spark, sf):
-    prod = fx.production_df(spark, sf)
+    prod = fx.stored_production(spark, sf)
     return dump.dump(prod, fx.weekly_state(prod), fx.groups(spark), fx.old_df(spark, sf), "GENDER", fx.NOW,
                      [f"task_{i}" for i in range(5)])
 
@@ -395,7 +395,7 @@ def dump_gender(spark, sf):
 @query("dump_marriage", f"""WITH {fx.group_current(fx.MARRIAGE_RULES)}, {fx.old_snapshot('MARRIAGE')}, {fx.merge('MARRIAGE')}
  SELECT {SNAP} FROM merged""")
 def dump_marriage(spark, sf):
-    prod = fx.production_df(spark, sf, fx.MARRIAGE_RULES)
+    prod = fx.stored_production(spark, sf, fx.MARRIAGE_RULES)
     return dump.dump(prod, fx.weekly_state(prod), fx.groups(spark), fx.old_df(spark, sf, "MARRIAGE"), "MARRIAGE", fx.NOW)
 
 
@@ -423,4 +423,4 @@ def dump_group_checked(spark, sf):
  FROM production p JOIN groups g ON g.source = p.source), l AS (SELECT *, row_number() OVER (PARTITION BY prod_group, source,
  source_author, panel ORDER BY create_time DESC, id DESC) AS rn FROM j) SELECT {RES}, prod_group FROM l WHERE rn = 1""")
 def last_production(spark, sf):
-    return dump.last_production(fx.production_df(spark, sf), fx.groups(spark))
+    return dump.last_production(fx.stored_production(spark, sf), fx.groups(spark))
