@@ -12,7 +12,8 @@ from panelmill.constants import CONFLICT_GROUPS, LABEL_NAMES, PRODUCTION_GROUPS
 from panelmill.functions.slices import slice_index
 from panelmill.operators.clean import slice_votes, task_votes
 from panelmill.plans.tasks import labelled_posts, named, panels_of
-from panelmill.session import spread, work_dir
+from panelmill.schemas import SOURCE_MAP as SOURCE_MAP_SCHEMA
+from panelmill.session import fixed_table, spread, work_dir
 from panelmill.sources.rules import production_groups
 from panelmill.sources.tables import read_results, write_production
 from panelmill.spec import JobSpec
@@ -246,7 +247,7 @@ def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SITE_SOURCES.items()), "s_id string, source string")
+    return fixed_table(spark, list(SITE_SOURCES.items()), SOURCE_MAP_SCHEMA)
 
 
 def groups(spark: SparkSession) -> DataFrame:
@@ -263,12 +264,12 @@ def weekly(df: DataFrame, column: str = "create_time") -> DataFrame:
 
 
 def routed_df(spark: SparkSession, sf: str, rules: dict = GENDER_RULES, target: str = "content",
-              model: str = "keyword_model") -> DataFrame:
-    return weekly(labelled_posts(posts(spark, sf), spec(rules, target, model), source_map(spark)))
+              model: str = "keyword_model", matched_only: bool = False) -> DataFrame:
+    return weekly(labelled_posts(posts(spark, sf), spec(rules, target, model), source_map(spark), matched_only))
 
 
 def named_df(spark: SparkSession, sf: str, rules: dict = GENDER_RULES, target: str = "content") -> DataFrame:
-    return named(routed_df(spark, sf, rules, target))
+    return named(routed_df(spark, sf, rules, target, matched_only=True))
 
 
 def results_df(spark: SparkSession, sf: str, rules: dict = GENDER_RULES) -> DataFrame:

@@ -181,7 +181,8 @@ def keyword_match_equijoin(spark, sf):
 def label_task(spark, sf):
     """Match, project, route, vote per slice and rename, as one plan."""
     spec = fx.spec()
-    return tasks.slice_results(tasks.labelled_posts(fx.posts(spark, sf), spec, fx.source_map(spark)), spec)
+    return tasks.slice_results(
+        tasks.labelled_posts(fx.posts(spark, sf), spec, fx.source_map(spark), matched_only=True), spec)
 
 
 @query("label_by_model", f"""WITH {fx.POSTS} SELECT id, 'keyword_model' AS model,

@@ -130,20 +130,29 @@ def first_keyword_label(spark, rules: Mapping, target: str = "content", case_sen
     return F.coalesce(F.get(F.lit(list(kws)), no), F.lit(""))
 
 
-def label_posts(posts: DataFrame, model: str, rules, target: str = "content",
-                case_sensitive: bool = False, na_label: str | None = None) -> DataFrame:
-    """Add ``panel`` by the model that a job names.
+def _with_panel(posts: DataFrame, panel: Column, matched_only: bool) -> DataFrame:
+    """Add the label; with ``matched_only`` as an exploded list of none or one.  A filter on the label
+    would be pushed below the projection and find the label a second time."""
+    if not matched_only:
+        return posts.withColumn("panel", panel)
+    return posts.select("*", F.explode(F.filter(F.array(panel), lambda p: p != "")).alias("panel"))
+
+
+def label_posts(posts: DataFrame, model: str, rules, target: str = "content", case_sensitive: bool = False,
+                na_label: str | None = None, matched_only: bool = False) -> DataFrame:
+    """Add ``panel`` by the model that a job names, '' where nothing matches; ``matched_only`` leaves such
+    posts out.
 
     ``rules`` is a rule mapping, a term dictionary ``label -> [(term, weight)]`` for
     ``term_weight_model``, or a fitted pipeline for ``random_forest_model``.
     """
     if model == "keyword_model":
-        return posts.withColumn("panel", first_keyword_label(posts.sparkSession, rules, target, case_sensitive))
+        return _with_panel(posts, first_keyword_label(posts.sparkSession, rules, target, case_sensitive), matched_only)
     if model == "rule_model":
-        return posts.withColumn("panel", first_label(model, rules, target, case_sensitive))
+        return _with_panel(posts, first_label(model, rules, target, case_sensitive), matched_only)
     if model == "term_weight_model":
         labels = term_weight.labels(rules, target, na_label=na_label)
-        return posts.withColumn("panel", F.coalesce(F.get(labels, F.lit(0)), F.lit("")))
+        return _with_panel(posts, F.coalesce(F.get(labels, F.lit(0)), F.lit("")), matched_only)
     if model == "random_forest_model":
         from panelmill.operators import forest
         return forest.predict(rules, posts, target).withColumnRenamed("predicted", "panel")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.text import trim_author
 from panelmill.operators import audit, panel
 from panelmill.operators.clean import AUTHOR
+from panelmill.session import small
 
 
 def group_current(production: DataFrame, state: DataFrame, groups: DataFrame, task_ids: Sequence[str] | None = None,
@@ -17,7 +18,7 @@ def group_current(production: DataFrame, state: DataFrame, groups: DataFrame, ta
     if task_ids is not None:
         state = audit.require_finished(state, task_ids)
     where = audit.tasks_to_groups(state, groups, first_source_only)
-    return production.join(where, ["task_id", "source"]).select("prod_group", AUTHOR, "panel")
+    return production.join(small(where), ["task_id", "source"]).select("prod_group", AUTHOR, "panel")
 
 
 def dump_groups(current: DataFrame, old: DataFrame, term: str, now: datetime, compat: bool = False) -> DataFrame:

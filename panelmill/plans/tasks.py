@@ -19,13 +19,16 @@ from panelmill.sources.posts import read_posts
 from panelmill.spec import JobSpec
 
 
-def labelled_posts(posts: DataFrame, spec: JobSpec, source_map: DataFrame) -> DataFrame:
-    """Result rows of all posts of a job, with source and slice; panel '' where nothing matched."""
+def labelled_posts(posts: DataFrame, spec: JobSpec, source_map: DataFrame,
+                   matched_only: bool = False) -> DataFrame:
+    """Result rows of all posts of a job, with source and slice; panel '' where nothing matched, or such
+    rows left out."""
     present = posts.where(F.col("author").isNotNull() & F.col("s_id").isNotNull()
                           & F.col(target_name(spec.target)).isNotNull())
     slicer = with_slices_compat if spec.compat_slices else with_slices
     routed = lab.route_to_sources(slicer(present, spec.start, spec.end), small(source_map))
-    labelled = lab.label_posts(routed, spec.model_type, spec.rules, spec.target, spec.case_sensitive)
+    labelled = lab.label_posts(routed, spec.model_type, spec.rules, spec.target, spec.case_sensitive,
+                               matched_only=matched_only)
     return lab.project_results(labelled, spec.target, spec.task_id)
 
 
@@ -37,14 +40,14 @@ def panels_of(spec: JobSpec) -> list[str] | None:
     return ["/" + LABEL_NAMES.get(name, name) for name in spec.rules]
 
 
-def named(df: DataFrame) -> DataFrame:
+def named(matched: DataFrame) -> DataFrame:
     """Labelled rows with their final panel names."""
-    return lab.labelled_only(df).withColumn("panel", lab.panel_name(F.col("panel")))
+    return matched.withColumn("panel", lab.panel_name(F.col("panel")))
 
 
-def slice_results(rows: DataFrame, spec: JobSpec) -> DataFrame:
-    """Rows of the result table: one per slice, author and winning panel."""
-    out = slice_votes(named(rows), keys=["source"], tie=spec.tie, labels=panels_of(spec))
+def slice_results(matched: DataFrame, spec: JobSpec) -> DataFrame:
+    """Rows of the result table out of the matched posts: one per slice, author and winning panel."""
+    out = slice_votes(named(matched), keys=["source"], tie=spec.tie, labels=panels_of(spec))
     return out.select(*schemas.RESULT_COLUMNS, "source")
 
 
@@ -95,13 +98,15 @@ def run_task(spark: SparkSession, spec: JobSpec, source_map: DataFrame | None =
         if spec.model_type == "rule_model":
             rule_sources.check_patterns(spark, [p for ps in spec.rules.values() for p in ps])
         posts = read_posts(spark, spec.site, spec.start, spec.end) if posts is None else posts
-        rows = labelled_posts(posts, spec, source_map)
+        matched = labelled_posts(posts, spec, source_map, matched_only=True)
         results_path, prod_path = f"{spec.output}/results", f"{spec.output}/production"
-        tables.write_results(slice_results(rows, spec), results_path)
+        tables.write_results(slice_results(matched, spec), results_path)
         written = tables.task_rows(tables.read_results(spark, results_path), spec.task_id)
         tables.write_production(production_rows(written, spec), prod_path)
         prod = tables.task_rows(tables.read_results(spark, prod_path), spec.task_id)
 
+        # No label is computed for these columns.
+        rows = labelled_posts(posts, spec, source_map)
         seen = (trimmed(rows.select("source", AUTHOR)).groupBy("source")
                 .agg(F.count("*").alias("n_received"), F.count_distinct(AUTHOR).alias("uniq_authors")))
         out = (seen.join(written.groupBy("source").agg(F.count("*").alias("n_labelled")), "source", "left")

@@ -23,6 +23,7 @@ KEYWORD_RULE = _schema(label_pos=I, label=S, keyword=S, match_type=S)
 REGEX_RULE = _schema(label_pos=I, label=S, pattern_pos=I, pattern=S)
 RULE_TABLE = _schema(labeling_job_id=I, content=S, match_type=S)
 SOURCE_MAP = _schema(s_id=S, source=S)
+PRODUCTION_GROUP = _schema(source=S, prod_group=S)
 TERM_DICT = _schema(label=S, term=S, weight=D)
 TRAINING = _schema(content=S, label=S)
 

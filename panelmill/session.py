@@ -4,8 +4,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a job needs on top of the cluster's own settings.  Partition counts stay with AQE: it starts
 # from many small shuffle partitions and merges them to the advisory size.
@@ -14,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Stream state larger than the executor heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -52,6 +57,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fixed_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A fixed lookup table as literal rows of the plan, whose size Spark knows."""
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    arrow = pa.table({f.name: pa.array(list(c)) for f, c in zip(schema, columns)})
+    return spark.createDataFrame(arrow, schema)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread an input of fewer splits than cores (a few unsplittable files) over all cores; an input
     that has enough splits is left as it is."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmill import constants, schemas
+from panelmill.session import fixed_table
 
 # Above this many rules they stay a table (see operators.rule_join) instead of literals of the plan.
 MAX_INLINE_RULES = 5_000
@@ -94,12 +95,12 @@ def read_source_map(spark: SparkSession, path: str) -> DataFrame:
 
 def source_map(spark: SparkSession) -> DataFrame:
     rows = [(s, name) for name, sites in constants.SOURCE_SITES.items() for s in sites]
-    return spark.createDataFrame(rows, schemas.SOURCE_MAP)
+    return fixed_table(spark, rows, schemas.SOURCE_MAP)
 
 
 def production_groups(spark: SparkSession) -> DataFrame:
     rows = [(s, g) for g, sources in constants.PRODUCTION_GROUPS.items() for s in sources]
-    return spark.createDataFrame(rows, "source string, prod_group string")
+    return fixed_table(spark, rows, schemas.PRODUCTION_GROUP)
 
 
 # --- training files ------------------------------------------------------------------------

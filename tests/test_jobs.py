@@ -152,3 +152,12 @@ def test_stream_with_keyword_automaton(spark, tmp_path):
     stream.start_labels(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = fx.posts(spark, SF).where("lower(content) LIKE 'th%' AND s_id <> 'WH_X0000'").count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == want
+
+
+def test_label_is_found_once_per_post(spark):
+    """A matched-only pass must not repeat the rules in a filter below the projection."""
+    many = fx.spec({"男性": [(f"zz{i}", "partially") for i in range(50)]})
+    for s, mark in ((fx.spec(), "Contains("), (many, "first(")):
+        rows = tasks.labelled_posts(fx.posts(spark, SF), s, fx.source_map(spark), matched_only=True)
+        plan = tasks.slice_results(rows, s)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(mark in line for line in plan.splitlines()) == 1, plan
