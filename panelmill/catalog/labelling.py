@@ -244,20 +244,35 @@ def _occurrences(t):
     return f"CAST((length(content) - length(replace(content, '{t}', ''))) // length('{t}') AS INTEGER)"
 
 
-TW_ROWS = " UNION ALL ".join(
-    f"SELECT id, {i} AS label_pos, '{label}' AS label, '{t}' AS term, CAST({w} AS DOUBLE) AS weight, {_occurrences(t)} AS n FROM docs"
-    for i, (label, tw) in enumerate(fx.TERMS.items()) for t, w in tw)
-TW = f"""docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS content FROM documents),
-hits AS (SELECT * FROM ({TW_ROWS}) WHERE n > 0),
+def tw_sql(terms):
+    rows = " UNION ALL ".join(
+        f"SELECT id, {i} AS label_pos, '{label}' AS label, '{t}' AS term, CAST({w} AS DOUBLE) AS weight, {_occurrences(t)} AS n FROM docs"
+        for i, (label, tw) in enumerate(terms.items()) for t, w in tw)
+    return f"""docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS content FROM documents),
+hits AS (SELECT * FROM ({rows}) WHERE n > 0),
 scores AS (SELECT id, label_pos, label, sum(weight * n) / sum(n) AS score, count(*) AS n_terms FROM hits GROUP BY ALL)"""
 
 
+TW = tw_sql(fx.TERMS)
+LONG_TERMS = {"fr": fx.TERMS["fr"] + [("elle", 0.7), ("vi", 0.15), ("ou", 0.22)],
+              "en": fx.TERMS["en"] + [("enen", 0.95), ("th", 0.05), ("of ", 0.35), ("nd", 0.21)],
+              "none": [("e", 0.1), ("ee", 0.9), ("a", 0.45), ("aa", 0.05)]}
+
+
 @query("term_weight_score", f"""WITH {TW} SELECT d.id, coalesce(string_agg(s.label, ',' ORDER BY s.label_pos), '') AS labels
  FROM docs d LEFT JOIN scores s ON s.id = d.id AND s.score > 0.3 GROUP BY d.id""")
 def term_weight_score(spark, sf):
     return fx.doc_posts(spark, sf).select("id", F.array_join(term_weight.labels(fx.TERMS), ",").alias("labels"))
 
 
+@query("term_weight_many_terms", f"""WITH {tw_sql(LONG_TERMS)} SELECT d.id, coalesce(string_agg(s.label, ',' ORDER BY s.label_pos), '-') AS labels
+ FROM docs d LEFT JOIN scores s ON s.id = d.id AND s.score > 0.3 GROUP BY d.id""")
+def term_weight_many_terms(spark, sf):
+    """More terms than are counted one by one."""
+    labels = term_weight.term_labels(spark, LONG_TERMS, na_label="-")
+    return fx.doc_posts(spark, sf).select("id", F.array_join(labels, ",").alias("labels"))
+
+
 @query("term_weight_matches", f"WITH {TW} SELECT id, label, term, weight, n FROM hits")
 def term_weight_matches(spark, sf):
     m = fx.doc_posts(spark, sf).select("id", F.explode(term_weight.matches(fx.TERMS)).alias("m"))

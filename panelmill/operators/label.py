@@ -151,7 +151,7 @@ def label_posts(posts: DataFrame, model: str, rules, target: str = "content", ca
     if model == "rule_model":
         return _with_panel(posts, first_label(model, rules, target, case_sensitive), matched_only)
     if model == "term_weight_model":
-        labels = term_weight.labels(rules, target, na_label=na_label)
+        labels = term_weight.term_labels(posts.sparkSession, rules, target, na_label=na_label)
         return _with_panel(posts, F.coalesce(F.get(labels, F.lit(0)), F.lit("")), matched_only)
     if model == "random_forest_model":
         from panelmill.operators import forest

@@ -1,7 +1,9 @@
 """Term-weight labelling: mean weight of the dictionary terms found in a text."""
 
-from collections.abc import Mapping, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,58 @@ def labels(terms: Mapping[str, Sequence], target: str = "content", threshold: fl
     return let(above, lambda a: F.when(F.size(a) == 0, F.array(F.lit(na_label))).otherwise(a))
 
 
+def term_labels(spark, terms: Mapping[str, Sequence], target: str = "content", threshold: float = TERM_THRESHOLD,
+                na_label: str | None = None) -> Column:
+    """``labels`` for dictionaries of any size: trained ones have up to 10,000 terms per label, and one
+    automaton pass per text then replaces one scan per term."""
+    from panelmill.operators.rule_join import automaton_pays
+    if not automaton_pays(sum(len(tw) for tw in terms.values()), target):
+        return labels(terms, target, threshold, na_label)
+    names = list(terms)
+    shared = spark.sparkContext.broadcast([(t, float(w), no) for no, tw in enumerate(terms.values()) for t, w in tw])
+
+    @F.pandas_udf("array<int>")
+    def above(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = term_scorer(shared.value)
+        for batch in texts:
+            yield batch.map(lambda t: [no for no, s in score(t) if s > threshold], na_action=None)
+
+    found = F.transform(above(F.col(target_name(target))), lambda i: F.get(F.lit(names), i))
+    if na_label is None:
+        return found
+    return let(found, lambda a: F.when(F.size(a) == 0, F.array(F.lit(na_label))).otherwise(a))
+
+
+def term_scorer(entries):
+    """Function text -> [(label number, mean weight)] over (term, weight, label number) entries."""
+    import ahocorasick
+
+    tree = ahocorasick.Automaton()
+    uses = defaultdict(list)
+    for term, weight, no in entries:
+        uses[term].append((no, weight))
+        tree.add_word(term, term)
+    tree.make_automaton()
+
+    def score(text):
+        if text is None:
+            return []
+        count, free_from = Counter(), {}
+        for end, term in tree.iter(text):
+            start = end - len(term) + 1
+            if start >= free_from.get(term, 0):
+                count[term] += 1
+                free_from[term] = end + 1
+        weighted, total = defaultdict(float), Counter()
+        for term, n in count.items():
+            for no, weight in uses[term]:
+                weighted[no] += weight * n
+                total[no] += n
+        return [(no, weighted[no] / total[no]) for no in sorted(total)]
+
+    return score
+
+
 def score_with_table(posts: DataFrame, terms: DataFrame, target: str = "content") -> DataFrame:
     """Scores (id, label, score, n_terms) for a dictionary that stays a table.
 

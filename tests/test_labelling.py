@@ -158,6 +158,10 @@ def test_term_weights_against_brute_force(spark):
     assert {(r["id"], r["label"]): round(r["score"], 9) for r in table.collect()} == {k: round(v, 9) for k, v in want.items()}
     got = {r["id"]: r["l"] for r in df.select("id", term_weight.labels(TERMS, na_label="none").alias("l")).collect()}
     assert got == {i: [x for x in TERMS if want.get((i, x), 0) > 0.3] or ["none"] for i, _ in texts}
+    score = term_weight.term_scorer([(t, w, no) for no, tw in enumerate(TERMS.values()) for t, w in tw])
+    names = list(TERMS)
+    scored = {(i, names[no]): s for i, t in texts for no, s in score(t)}
+    assert scored == pytest.approx(want)
 
 
 def test_tokens(spark):
