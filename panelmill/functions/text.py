@@ -15,9 +15,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# All white space of Unicode, the last of it being U+3000.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def trim_author(c) -> Column:
-    """Strip all white space (also Unicode blanks) at both ends; ``trim`` strips only blanks."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Strip all white space (also Unicode blanks) at both ends; ``trim`` alone strips only blanks."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def target_name(target: str) -> str:

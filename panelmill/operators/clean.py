@@ -109,14 +109,12 @@ def label_winner(counts: Sequence[Column], tie: str = "drop") -> Column:
     _check_tie(tie)
     if not counts:
         return F.lit(None).cast("int")
-    top = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    if tie == "drop":
-        shared = sum((F.when(c == top, 1).otherwise(0) for c in counts[1:]), F.when(counts[0] == top, 1).otherwise(0))
-        ok = (top > 0) & (shared == 1)
-    else:
-        ok = top > 0
-    pick = F.coalesce(*[F.when(c == top, F.lit(i)) for i, c in reversed(list(enumerate(counts)))])
-    return F.when(ok, pick)
+    a = F.array(*counts)
+    top = F.array_max(a)
+    first = F.array_position(a, top)
+    last = F.size(a) + 1 - F.array_position(F.reverse(a), top)
+    ok = (top > 0) & (first == last) if tie == "drop" else top > 0
+    return F.when(ok, (last - 1).cast("int"))
 
 
 def slice_votes(results: DataFrame, start: datetime | None = None, keys: Sequence[str] = ("source",),
