@@ -24,7 +24,7 @@ def char_tokens_(spark, sf):
  FROM documents""")
 def tokens(spark, sf):
     d = fx.doc_posts(spark, sf)
-    return d.select("id", F.array_join(features.tokens(d, "content", STOP), " ").alias("tokens"))
+    return d.select("id", F.array_join(features.tokens("content", STOP), " ").alias("tokens"))
 
 
 TF = f"""tok AS (SELECT CAST(doc_id AS VARCHAR) AS id, unnest({WORDS}) AS term FROM documents),

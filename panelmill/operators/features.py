@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.text import char_tokens, target_name, word_tokens
 
 
-def tokens(df: DataFrame, target: str = "content", stop_words: Sequence[str] = ()) -> Column:
+def tokens(target: str = "content", stop_words: Sequence[str] = ()) -> Column:
     """Token array of a text: words (or Han pieces); characters for author names."""
     name = target_name(target)
     if name == "author":
@@ -27,7 +27,7 @@ def term_counts(df: DataFrame, target: str = "content", stop_words: Sequence[str
     """(id, term, tf).  Counts are made on the task that holds the text, before the shuffle."""
     # The filter changes nothing, but keeps the plan equal to what a later join on term makes of it, so
     # that vocabulary and weights share one shuffle.
-    return (df.select("id", F.explode(tokens(df, target, stop_words)).alias("term")).where("term IS NOT NULL")
+    return (df.select("id", F.explode(tokens(target, stop_words)).alias("term")).where("term IS NOT NULL")
               .groupBy("id", "term").agg(F.count("*").alias("tf")))
 
 

@@ -29,7 +29,7 @@ def _feature_stages(docs: DataFrame, max_features: int, min_df: float) -> list:
 
 
 def with_tokens(docs: DataFrame, target: str = "content", stop_words: Sequence[str] = ()) -> DataFrame:
-    return docs.withColumn("tokens", tokens(docs, target, stop_words))
+    return docs.withColumn("tokens", tokens(target, stop_words))
 
 
 def train_forest(examples: DataFrame, target: str = "content", trees: int = constants.FOREST_TREES,

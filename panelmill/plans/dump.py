@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.text import trim_author
 from panelmill.operators import audit, panel
 from panelmill.operators.clean import AUTHOR
-from panelmill.session import small
+from panelmill.session import materialize, small
 
 
 def group_current(production: DataFrame, state: DataFrame, groups: DataFrame, task_ids: Sequence[str] | None = None,
@@ -41,8 +41,11 @@ def dump(production: DataFrame, state: DataFrame, groups: DataFrame, old: DataFr
 
 
 def dump_checked(current: DataFrame, old: DataFrame, term: str, now: datetime) -> tuple[DataFrame, DataFrame]:
-    """The dump, and per group its row count, surplus rows and authors with conflicting panels."""
-    merged = dump_groups(current, old, term, now)
+    """The dump, and per group its row count, surplus rows and authors with conflicting panels.
+
+    The checks read the merged rows three times, so they are written first.
+    """
+    merged = materialize(dump_groups(current, old, term, now), "merged")
     surplus, clash = panel.check_merge(merged, ["prod_group"])
     rows = merged.groupBy("prod_group").agg(F.count("*").alias("n_rows"))
     conflicting = clash.groupBy("prod_group").agg(F.count_distinct(AUTHOR).alias("conflict_authors"))
