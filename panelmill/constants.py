@@ -7,6 +7,7 @@ tables this package reads and writes.  They are facts, not tuning knobs.
 # --- fixed values ------------------------------------------------------------------------
 
 TABLE_PREFIX = "wh_panel_mapping_"
+POST_TABLE = "ts_page_content"
 
 # Production group -> sources ("video" belongs to no group).
 PRODUCTION_GROUPS = {

@@ -4,7 +4,7 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from panelmill.constants import MODEL_TYPES
+from panelmill.constants import MODEL_TYPES, POST_TABLE
 from panelmill.functions.text import target_name
 
 
@@ -19,7 +19,7 @@ class JobSpec:
     case_sensitive: bool = False
     site: dict = field(default_factory=dict)      # see sources.posts.read_posts
     output: str = ""                              # folder of the result, production and audit tables
-    input_name: str = "ts_page_content"
+    input_name: str = POST_TABLE
     compat_slices: bool = False                   # slices closed at both ends, short tail not read
     tie: str = "drop"                             # or "first_dropped", see operators.clean
 
@@ -46,5 +46,5 @@ class JobSpec:
         return JobSpec(task_id=task_id, start=when(d["START_TIME"]), end=when(d["END_TIME"]),
                        rules=pattern, model_type=d.get("MODEL_TYPE", "keyword_model"),
                        target=d.get("PREDICT_TYPE", "author_name"), site=d.get("SITE_CONFIG") or {},
-                       input_name=d.get("INPUT_TABLE") or "ts_page_content",
+                       input_name=d.get("INPUT_TABLE") or POST_TABLE,
                        output=output or d.get("OUTPUT_SCHEMA") or "")

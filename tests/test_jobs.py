@@ -123,7 +123,15 @@ def test_snapshot_versions_and_export(spark, tmp_path):
 # --- streaming ------------------------------------------------------------------------------
 
 def test_closed_slices_equal_the_batch(spark, tmp_path):
-    """Append mode gives each slice once, when the watermark has passed it."""
+    """Append mode gives each slice once, when the watermark has passed it; in any session zone."""
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        closed_slices(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def closed_slices(spark, tmp_path):
     s = fx.spec()
     rows = tasks.labelled_posts(fx.posts(spark, SF), s, fx.source_map(spark))
     rows = rows.withColumn("panel", tasks.final_panel()).drop("slice")
@@ -137,7 +145,7 @@ def test_closed_slices_equal_the_batch(spark, tmp_path):
     closed = stream.closed_until(q, fx.START)
     assert closed is not None
     got = sorted((r["source"], r["slice_start"], r["source_author"], r["panel"] or "") for r in out.collect())
-    batch = stream.slice_counts(rows.withColumn("event_time", F.col("create_time").cast("timestamp")), panels, fx.START)
+    batch = stream.slice_counts(rows.withColumn("event_time", stream.as_utc("create_time")), panels, fx.START)
     want = sorted((r["source"], r["slice_start"], r["source_author"], r["panel"] or "")
                   for r in stream.vote_slices(batch, panels).collect() if r["slice_start"] + timedelta(hours=6) <= closed)
     assert got == want and len(got) > 500
