@@ -1,9 +1,11 @@
 """Term-weight labelling: mean weight of the dictionary terms found in a text."""
 
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from panelmill.constants import TERM_THRESHOLD
 from panelmill.functions.text import count_substring, let, target_name
 
 
+# Tasks get the functions of this module by value: executors need not have the package installed.
+register_pickle_by_value(sys.modules[__name__])
+
+
 def _found(text: Column, terms: Sequence[tuple[str, float]]) -> Column:
     """(term, weight, n) of the terms of one label that occur in the text."""
     entries = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("weight")) for t, w in terms])

@@ -168,3 +168,16 @@ def test_tokens(spark):
     df = spark.createDataFrame([("Hello wörld a b2 x", ), ("我愛你 ok", ), ("", )], "t string")
     got = [r[0] for r in df.select(text.word_tokens(F.col("t"))).collect()]
     assert got == [["hello", "wörld", "b2"], ["我愛", "愛你", "我愛你", "ok"], []]
+
+
+def test_tasks_do_not_need_the_package(tmp_path):
+    """The functions sent to tasks load in a Python that has never seen this package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((rule_join.keyword_scanner, term_weight.term_scorer)))
+    code = ("import pickle; k, t = pickle.load(open('f', 'rb')); "
+            "print(k([(0, 'ab', 'partially')])('xaby'), t([('a', 0.5, 1)])('aa'))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert out.stdout.strip() == "[(0, 1)] [(1, 0.5)]", out.stderr
