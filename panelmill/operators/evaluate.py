@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def eval_join(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(id, pred, truth): a row missing on one side has no labels there."""
     none = F.array().cast("array<string>")

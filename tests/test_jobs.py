@@ -2,7 +2,6 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from panelmill import schemas
 from panelmill.catalog import fixtures as fx
