@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import fingerprint, html_text, mixing, packing, pii, quality, rank_language, token_count
+from panelmill.llm import chosen_path, fingerprint, fuzzy_lines, html_text, mixing, packing, pii, quality, rank_language, token_count
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -86,6 +86,11 @@ def op5_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query()
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query()
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -105,3 +110,10 @@ def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang", held.alias("held_out"))
     model = rank_language.train(docs.where(~F.col("held_out")), pick=F.xxhash64("doc_id"))
     return rank_language.identify(docs, model, ["doc_id", "held_out"])
+
+
+@query()
+def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class, the rows of the class, and its number of links."""
+    rows = chosen_path.jaccard_classes(table(spark, sf_dir, "documents"))
+    return rows.select(rows["k"].alias("doc_id"), "class_id", "class_rows", "n_links")
