@@ -94,9 +94,9 @@ def mix(docs: DataFrame, keys: list[str], text: str = "text", source: str = "sou
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    d = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    ids = ["_k", "_t", "_s"]
-    d = d.withColumn("_k", F.col(key)).withColumn("_s", F.col(source))
+    d = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    ids = ["_key", "_text", "_source"]
+    d = d.withColumn("_key", F.col(key)).withColumn("_source", F.col(source))
     chosen = mix(d, ids, text, source, **how).groupBy(*ids).agg(F.sum("copies").alias("_n"), F.count("*").alias("_m")).where("_n > 0")
     chosen = chosen.select(*[F.col(c).alias(f"_{c}") for c in ids], "_n", "_m")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
