@@ -192,7 +192,7 @@ def exact_links(table: pa.Table, cuts: list[int], similarity: tuple[int, int]):
     A group is one block, or two different ones, of which only pairs across count."""
     top, bottom = similarity
     us, vs, ws = [], [], []
-    u, block, weight, size = (table[c].to_numpy() for c in ("u", "block", "weight", "n"))
+    u, i, j, block, weight, size = (table[c].to_numpy() for c in ("u", "i", "j", "block", "weight", "n"))
     flat = table["grams"].combine_chunks() if table.num_rows else None
     tokens = flat.flatten().to_numpy() if flat is not None else np.empty(0, np.int64)
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -219,7 +219,7 @@ def exact_links(table: pa.Table, cuts: list[int], similarity: tuple[int, int]):
         union = size[a:b, None] + size[None, a:b] - both
         near = bottom * both >= top * union
         np.fill_diagonal(near, False)
-        if block[a] != block[b - 1]:
+        if i[a] != j[a]:
             near &= block[a:b, None] != block[None, a:b]
         n = near.astype(np.int64) @ weight[a:b]
         linked = n > 0
@@ -334,10 +334,10 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that stand for their class."""
-    kept = jaccard_classes(docs, key, text, **how).groupBy("k", "t").agg(F.sum(F.col("kept").cast("int")).alias("_n"), F.count("*").alias("_m"))
-    kept = materialize(kept.where("_n > 0").withColumnsRenamed({"k": "_k", "t": "_t"}), "kept")
-    d = docs.withColumn("_key", F.col(key)).withColumn("_text", F.xxhash64(text))
-    d = d.join(kept, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_text") == F.col("_t")))
-    if not kept.where("_m > _n").isEmpty():  # rows that repeat key and text
-        d = d.withColumn("_copy", F.row_number().over(Window.partitionBy("_key", "_text").orderBy(F.lit(1)))).where("_copy <= _n")
+    kept = jaccard_classes(docs, key, text, **how).groupBy("k", "t").agg(F.sum(F.col("kept").cast("int")).alias("_own_n"), F.count("*").alias("_own_m"))
+    kept = materialize(kept.where("_own_n > 0").withColumnsRenamed({"k": "_own_k", "t": "_own_t"}), "kept")
+    d = docs.withColumn("_own_key", F.col(key)).withColumn("_own_text", F.xxhash64(text))
+    d = d.join(kept, F.col("_own_key").eqNullSafe(F.col("_own_k")) & (F.col("_own_text") == F.col("_own_t")))
+    if not kept.where("_own_m > _own_n").isEmpty():  # rows that repeat key and text
+        d = d.withColumn("_own_copy", F.row_number().over(Window.partitionBy("_own_key", "_own_text").orderBy(F.lit(1)))).where("_own_copy <= _own_n")
     return d.select(*docs.columns)

@@ -145,7 +145,7 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
             pa, pb = (0.5, 50) if known else (5, 5 / odds)
             out[k] = math.log((a + pa) / (b + pb) / odds)
         elif k.startswith("tag:"):
-            out[k] = -0.25 - 0.25 * b / (a + b + 1)
+            out[k] = -0.05 - 0.25 * b / (a + b + 1)
     return out
 
 
@@ -190,7 +190,7 @@ class Extractor:
                 n = len(value.split())
                 score = -0.2 * n if off else 1.0 * n
             else:
-                score = self.model.get("tag:" + value, -0.4)
+                score = self.model.get("tag:" + value, -0.2)
             seen.append((kind, value, off))
             if run <= 0:
                 run, begin = 0.0, len(seen) - 1

@@ -68,7 +68,7 @@ def mix(docs: DataFrame, keys: list[str], text: str = "text", source: str = "sou
 
     def turn(e: int) -> Column:
         """Order in which the e-th pass serves a document: its finish time, then fixed ties."""
-        time = (F.col("_sum") + e * F.col("source_size")) / F.col("target")
+        time = F.try_divide(F.col("_sum") + e * F.col("source_size"), F.col("target"))
         return F.struct(time.alias("time"), F.col("place").alias("place"), F.lit(e).alias("e"), F.col("_h").alias("h"))
 
     turns = d.where((F.col("size") > 0) & (F.col("target") > 0)).select("size", F.explode(F.array(*[turn(e) for e in range(most)])).alias("turn"))
@@ -94,15 +94,15 @@ def mix(docs: DataFrame, keys: list[str], text: str = "text", source: str = "sou
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    d = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    ids = ["_key", "_text", "_source"]
-    d = d.withColumn("_key", F.col(key)).withColumn("_source", F.col(source))
-    chosen = mix(d, ids, text, source, **how).groupBy(*ids).agg(F.sum("copies").alias("_n"), F.count("*").alias("_m")).where("_n > 0")
-    chosen = chosen.select(*[F.col(c).alias(f"_{c}") for c in ids], "_n", "_m")
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids]
+    d = docs.withColumn("_own_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    ids = ["_own_key", "_own_text", "_own_source"]
+    d = d.withColumn("_own_key", F.col(key)).withColumn("_own_source", F.col(source))
+    chosen = mix(d, ids, text, source, **how).groupBy(*ids).agg(F.sum("copies").alias("_own_n"), F.count("*").alias("_own_m")).where("_own_n > 0")
+    chosen = chosen.select(*[F.col(c).alias(f"_other{c}") for c in ids], "_own_n", "_own_m")
+    on = [F.col(c).eqNullSafe(F.col(f"_other{c}")) for c in ids]
     j = d.join(chosen, on)
     # Repeated rows share what was taken of them.
     place = F.row_number().over(Window.partitionBy(*ids).orderBy(F.lit(1)))
-    share = F.floor(F.col("_n") / F.col("_m")) + F.when(place <= F.col("_n") % F.col("_m"), 1).otherwise(0)
-    j = j.withColumn("_share", F.when(F.col("_m") == 1, F.col("_n")).otherwise(share).cast("int"))
-    return j.where("_share > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_share")).alias("_turn")).drop("_turn")
+    share = F.floor(F.col("_own_n") / F.col("_own_m")) + F.when(place <= F.col("_own_n") % F.col("_own_m"), 1).otherwise(0)
+    j = j.withColumn("_own_share", F.when(F.col("_own_m") == 1, F.col("_own_n")).otherwise(share).cast("int"))
+    return j.where("_own_share > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_own_share")).alias("_own_turn")).drop("_own_turn")
