@@ -14,13 +14,15 @@ table gives an empty result; columns of the input that clash with results are re
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.llm.common import prefix_sums, words
 from panelmill.session import materialize
 
-ROWS_PER_BUCKET, MOST = 20_000, 3
+MOST = 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -56,7 +58,7 @@ def mix(docs: DataFrame, keys: list[str], text: str = "text", source: str = "sou
     d = docs.select(*keys, F.size(words(F.col(text))).cast("long").alias("size"), F.col(source).alias("source"))
     d = materialize(d.withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))), "sizes")
     rows = d.count()
-    buckets = max(1, rows // ROWS_PER_BUCKET)
+    buckets = max(1, math.isqrt(rows))  # as many buckets as rows in one
     s = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     # Equal ranges of the hash: a bucket holds a like share of every source.
     half = 1 << 30
