@@ -1,5 +1,7 @@
 """Queries over cleaning, votes, metrics, task audit, merge and dump."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from panelmill.catalog import fixtures as fx
@@ -8,6 +10,7 @@ from panelmill.functions.text import last_token, sample_hash
 from panelmill.operators import audit, clean, metrics, panel, sample
 from panelmill.plans import dump, tasks
 from panelmill.session import work_dir
+from panelmill.sources import tables
 
 RES = "id, task_id, source_author, panel, create_time, field_content, match_content, source"
 KEYS = ["task_id", "source"]
@@ -122,6 +125,64 @@ def task_metrics(spark, sf):
     return tasks.job_metrics(rows, spec).drop("task_id").withColumn("date_range", F.lit(spec.date_range))
 
 
+FIGURES = f"""au.source, CAST(n_received AS BIGINT) AS n_received, (SELECT count(*) FROM res WHERE res.source = au.source) AS n_labelled,
+ uniq_authors, (SELECT count(*) FROM prod WHERE prod.source = au.source) AS prod_rows,
+ {RATE.format(a='(SELECT count(*) FROM prod WHERE prod.source = au.source)', b='uniq_authors')} AS rate"""
+
+
+def stored_job(spark, sf, **kw):
+    """A job over posts that were written as files."""
+    base = work_dir(spark, "job")
+    fx.posts(spark, sf).write.parquet(f"{base}/site")
+    return fx.spec(site={"format": "parquet", "path": f"{base}/site"}, output=f"{base}/out", **kw)
+
+
+@query("run_task", f"""WITH {WHOLE} SELECT {FIGURES}, (SELECT count(*) FROM posts WHERE post_time >= TIMESTAMP '2024-01-01'
+  AND post_time < TIMESTAMP '2024-01-31') AS received_total FROM au""")
+def run_task(spark, sf):
+    """Files in, tables and audit rows out; the figures, and the audit row's total over all sites."""
+    spec = stored_job(spark, sf)
+    out = tasks.run_task(spark, spec, fx.source_map(spark))
+    total = audit.task_by_id(tasks.read_audit(spark, spec.output), spec.task_id).select(
+        F.col("length_receive_table").cast("bigint").alias("received_total"))
+    return out.join(F.broadcast(total))  # one row
+
+
+OTHER_RULES = {"男性": [("eaux", "partially")]}
+
+
+@query("run_task_rerun", f"""WITH {fx.named_rows(OTHER_RULES)}, {fx.vote('res', 'named', 'source, slice')}, {fx.vote('prod', 'res', 'source')}
+ SELECT 'other rules' AS run, (SELECT count(*) FROM res) AS n_results, (SELECT count(*) FROM prod) AS n_production, 'finish' AS prod_stat
+ UNION ALL SELECT 'no hits', 0, 0, 'no_data'""")
+def run_task_rerun(spark, sf):
+    """A task that is run again has the rows of its last run only, also where that has none."""
+    spec, rows = stored_job(spark, sf), []
+    tasks.run_task(spark, spec, fx.source_map(spark))
+    for name, rules in (("other rules", OTHER_RULES), ("no hits", {"男性": [("no such text", "absolutely")]})):
+        tasks.run_task(spark, replace(spec, rules=rules), fx.source_map(spark))
+        n = [tables.read_results(spark, f"{spec.output}/{t}").count() for t in ("results", "production")]
+        state = audit.task_by_id(tasks.read_audit(spark, spec.output), spec.task_id).first()
+        rows.append((name, *n, state["prod_stat"]))
+    return spark.createDataFrame(rows, "run string, n_results long, n_production long, prod_stat string")
+
+
+@query("batch_resume", f"""WITH {fx.named_rows()}, {fx.vote('voted', 'named', 'source, slice')}
+ SELECT id, 'task' AS task_id, source_author, panel, create_time, field_content, match_content, source FROM voted""")
+def batch_resume(spark, sf):
+    """A job in batches of 25 slices fails half-way and goes on from its check point: the rows are those of one whole run."""
+    spec = stored_job(spark, sf, batch_slices=25)
+    posts = spark.read.parquet(spec.site["path"])
+    late = F.col("post_time") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    broken = posts.withColumn("content", F.when(late, F.raise_error(F.lit("site is gone")).cast("string")).otherwise(F.col("content")))
+    try:
+        tasks.run_task(spark, spec, fx.source_map(spark), broken)
+    except Exception as e:
+        if "site is gone" not in str(e):
+            raise
+    tasks.run_task(spark, spec, fx.source_map(spark), resume=True)
+    return tables.read_results(spark, f"{spec.output}/results")
+
+
 @query("uniq_authors", f"WITH {fx.routed()} SELECT source, count(DISTINCT {fx.TRIM}) AS uniq_authors FROM routed GROUP BY 1")
 def uniq_authors(spark, sf):
     return metrics.uniq_authors(fx.routed_df(spark, sf))
@@ -201,18 +262,18 @@ def task_count(spark, sf):
     return audit.task_count(state(spark, sf))
 
 
-@query("audit_append", f"""WITH {fx.AUDIT} SELECT stat, count(*) AS n, count(DISTINCT task_id) AS n_tasks, max(seq) AS last_seq
- FROM audit GROUP BY 1""")
+@query("audit_append", """SELECT 'FAILURE' AS stat, 1 AS n, 1 AS n_tasks, count(*) AS received FROM events UNION ALL
+ SELECT 'PENDING', 2, 2, 0 FROM (SELECT 1) UNION ALL SELECT 'SUCCESS', 1, 1, count(*) FROM events""")
 def audit_append(spark, sf):
-    """The log is written in two appends and read as one."""
-    path = work_dir(spark, "audit")
-    log = fx.audit_df(spark, sf)
-    failed = F.col("stat") == "FAILURE"
-    log.where(~failed).write.mode("append").parquet(path)
-    log.where(failed).write.mode("append").parquet(path)
-    back = spark.read.schema(log.schema).parquet(path)
-    return back.groupBy("stat").agg(F.count("*").alias("n"), F.count_distinct("task_id").alias("n_tasks"),
-                                    F.max("seq").alias("last_seq"))
+    """The log of two tasks, row by row as a job appends them."""
+    output, n = work_dir(spark, "audit"), fx.table(spark, sf, "events").count()
+    for i, (task, stat) in enumerate([("a", "PENDING"), ("b", "PENDING"), ("a", "SUCCESS"), ("b", "FAILURE")]):
+        spec = replace(fx.spec(), task_id=task)
+        tasks.append_audit(tasks.audit_row(spark, spec, i, stat, length_receive_table=0 if stat == "PENDING" else n,
+                                           error_message="line one\nline two" * 1000 if stat == "FAILURE" else None), output)
+    log = tasks.read_audit(spark, output)
+    return log.groupBy("stat").agg(F.count("*").cast("int").alias("n"), F.count_distinct("task_id").cast("int").alias("n_tasks"),
+                                   F.max("length_receive_table").cast("bigint").alias("received"))
 
 
 @query("unfinished_tasks", f"""WITH {fx.LATEST_STATE} SELECT task_id, prod_stat FROM state

@@ -124,11 +124,11 @@ def source_map_csv(spark, sf):
     return rules.read_source_map(spark, path)
 
 
-@query("training_load", rf"""WITH {fx.TRAINING}
- SELECT regexp_replace(content, '\s+', ' ', 'g') AS content, label FROM training WHERE label IN ('good')""")
+@query("training_load", f"""WITH {fx.TRAINING} SELECT content, label FROM training WHERE label IN ('good')""")
 def training_load(spark, sf):
+    """Texts with line breaks, as they are."""
     path = work_dir(spark, "training")
-    (fx.training_df(spark, sf).select(F.regexp_replace("content", r"\s+", " ").alias("content"), "label")
+    (fx.training_df(spark, sf).select("content", "label")
        .write.csv(path, sep="\t", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
     return rules.read_training(spark, path, ["good"])
 
@@ -151,11 +151,13 @@ def task_rows(spark, sf):
 
 @query("result_sink", f"WITH {fx.results()} SELECT {RES} FROM results")
 def result_sink(spark, sf):
-    """Written twice: the second run of a task replaces its partitions."""
+    """Task 2 is run twice more; its first rerun found all rows under another source, which the second one replaces."""
     path = work_dir(spark, "results")
     rows = fx.results_df(spark, sf).drop("slice")
     tables.write_results(rows, path)
-    tables.write_results(rows.where(F.col("task_id") == "task_2"), path)
+    again = rows.where(F.col("task_id") == "task_2")
+    tables.write_task(again.withColumn("source", F.lit("stale")), path, "task_2")
+    tables.write_task(again, path, "task_2")
     return tables.read_results(spark, path)
 
 
@@ -228,17 +230,24 @@ def snapshot_replace(spark, sf):
     return tables.read_snapshot(spark, path)
 
 
-@query("export_snapshot", f"""WITH {fx.old_snapshot()} SELECT prod_group, count(*) AS n_lines FROM old GROUP BY 1""")
+ODD = r"""SELECT prod_group, concat(source_author, chr(10), '"', prod_group, ', ') AS source_author, panel, create_time FROM old"""
+
+
+def odd_names(spark, sf):
+    """Authors with line breaks, quotes and blanks at the end."""
+    return fx.old_df(spark, sf).withColumn("source_author", F.concat("source_author", F.lit('\n"'), "prod_group", F.lit(", ")))
+
+
+@query("export_snapshot", f"""WITH {fx.old_snapshot()} SELECT prod_group, count(*) AS n_rows FROM old GROUP BY 1""")
 def export_snapshot(spark, sf):
-    """Lines of the exported files, header lines left out."""
-    path = tables.export_snapshot(fx.old_df(spark, sf), work_dir(spark, "export"), "site", fx.NOW)
-    lines = spark.read.option("basePath", path).text(path).where(~F.col("value").startswith("source_author,"))
-    return lines.groupBy("prod_group").agg(F.count("*").alias("n_lines"))
+    """Rows of the exported files of each group."""
+    path = tables.export_snapshot(odd_names(spark, sf), work_dir(spark, "export"), "site", fx.NOW)
+    return spark.read.parquet(path).groupBy(F.col("prod_group").cast("string").alias("prod_group")).agg(F.count("*").alias("n_rows"))
 
 
-@query("import_snapshot", f"WITH {fx.old_snapshot()} SELECT source_author, panel, create_time, prod_group FROM old")
+@query("import_snapshot", f"WITH {fx.old_snapshot()} {ODD}")
 def import_snapshot(spark, sf):
-    path = tables.export_snapshot(fx.old_df(spark, sf), work_dir(spark, "export"), "site", fx.NOW)
+    path = tables.export_snapshot(odd_names(spark, sf), work_dir(spark, "export"), "site", fx.NOW)
     return tables.import_snapshot(spark, path)
 
 

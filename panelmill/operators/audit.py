@@ -43,12 +43,16 @@ def unfinished_tasks(state: DataFrame) -> DataFrame:
     return state.where(~F.col("prod_stat").eqNullSafe("finish")).select("task_id", "prod_stat")
 
 
-def require_finished(state: DataFrame, task_ids: Sequence[str]) -> DataFrame:
-    """The named tasks, or an error naming one that is unfinished."""
-    chosen = state.where(F.col("task_id").isin(list(task_ids)))
+def require_finished(state: DataFrame, task_ids: Sequence[str] | None) -> DataFrame:
+    """The named tasks (all of them if None), or an error naming one that is unfinished or unknown."""
+    chosen = state if task_ids is None else state.where(F.col("task_id").isin(list(task_ids)))
     bad = unfinished_tasks(chosen).take(1)
     if bad:
         raise UnfinishedTask(f"task {bad[0]['task_id']} is unfinished")
+    if task_ids is not None:
+        known = {r["task_id"] for r in chosen.select("task_id").collect()}  # at most the ids asked for
+        if unknown := sorted(set(task_ids) - known):
+            raise UnfinishedTask(f"no such task: {', '.join(unknown)}")
     return chosen
 
 
@@ -67,7 +71,10 @@ def tasks_to_groups(state: DataFrame, groups: DataFrame, first_source_only: bool
 
 
 def tables_to_groups(tables: DataFrame, groups: DataFrame) -> DataFrame:
-    """(prod_group, name): result tables by the source at the end of their names."""
+    """(prod_group, name): result tables by the source at the end of their names; an error if there is none."""
     from panelmill.functions.text import last_token
     named = tables.withColumn("source", last_token("name"))
-    return named.join(F.broadcast(groups), "source").select("prod_group", "name")
+    found = named.join(F.broadcast(groups), "source").select("prod_group", "name")
+    if found.isEmpty():
+        raise ValueError("none of the tables belongs to a production group")
+    return found

@@ -155,7 +155,8 @@ def label_posts(posts: DataFrame, model: str, rules, target: str = "content", ca
         return _with_panel(posts, F.coalesce(F.get(labels, F.lit(0)), F.lit("")), matched_only)
     if model == "random_forest_model":
         from panelmill.operators import forest
-        return forest.predict(rules, posts, target).withColumnRenamed("predicted", "panel")
+        out = forest.predict(rules, posts, target).withColumnRenamed("predicted", "panel")
+        return labelled_only(out) if matched_only else out
     raise ValueError(f"unknown model type {model!r}")
 
 

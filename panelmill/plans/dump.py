@@ -14,30 +14,32 @@ from panelmill.session import materialize, small
 
 def group_current(production: DataFrame, state: DataFrame, groups: DataFrame, task_ids: Sequence[str] | None = None,
                   first_source_only: bool = False) -> DataFrame:
-    """(prod_group, source_author, panel): production rows of finished tasks by group."""
-    if task_ids is not None:
-        state = audit.require_finished(state, task_ids)
-    where = audit.tasks_to_groups(state, groups, first_source_only)
+    """(prod_group, source_author, panel): production rows of the given tasks (all if None) by group; every task that
+    takes part must have finished."""
+    where = audit.tasks_to_groups(audit.require_finished(state, task_ids), groups, first_source_only)
     return production.join(small(where), ["task_id", "source"]).select("prod_group", AUTHOR, "panel")
 
 
-def dump_groups(current: DataFrame, old: DataFrame, term: str, now: datetime, compat: bool = False) -> DataFrame:
+def dump_groups(current: DataFrame, old: DataFrame, term: str, now: datetime, compat: bool = False,
+                names: Sequence[str] | None = None) -> DataFrame:
     """New snapshot of every group that has current rows: merged with its old snapshot, or started.
 
     All groups are one plan keyed by ``prod_group``; a group without old rows has nothing to match and
     so becomes a first snapshot by itself.  Groups without current rows keep their snapshot.
     """
-    # The groups are a handful of rows; the filter keeps a large old snapshot from being merged idly.
-    named = current.select("prod_group").distinct()
-    return panel.merge_panels(old.join(named, "prod_group", "left_semi"), current, term, now,
+    # The names of the groups (one short row each) as literals: they prune the partitions of the old snapshot, and
+    # neither side is shuffled by group alone.
+    if names is None:
+        names = [r["prod_group"] for r in current.select("prod_group").distinct().collect()]
+    return panel.merge_panels(old.where(F.col("prod_group").isin(sorted(names))), current, term, now,
                               keys=["prod_group"], compat=compat)
 
 
 def dump(production: DataFrame, state: DataFrame, groups: DataFrame, old: DataFrame, term: str, now: datetime,
          task_ids: Sequence[str] | None = None, compat: bool = False) -> DataFrame:
     """Gender or marriage dump (``term``) of the given tasks."""
-    return dump_groups(group_current(production, state, groups, task_ids, first_source_only=compat),
-                       old, term, now, compat)
+    current = group_current(production, state, groups, task_ids, first_source_only=compat)
+    return dump_groups(current, old, term, now, compat)
 
 
 def dump_checked(current: DataFrame, old: DataFrame, term: str, now: datetime) -> tuple[DataFrame, DataFrame]:

@@ -1,14 +1,17 @@
 """A labelling job from its description to the written result, production and audit rows."""
 
 import time
-from datetime import datetime
+from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill import schemas
+from panelmill.constants import SLICE_HOURS
 from panelmill.functions.slices import with_slices, with_slices_compat
 from panelmill.functions.text import target_name
+from panelmill.operators import audit
 from panelmill.operators import label as lab
 from panelmill.operators import metrics
 from panelmill.operators.clean import AUTHOR, slice_votes, task_votes, trimmed
@@ -19,25 +22,50 @@ from panelmill.sources.posts import read_posts
 from panelmill.spec import JobSpec
 
 
-def labelled_posts(posts: DataFrame, spec: JobSpec, source_map: DataFrame,
-                   matched_only: bool = False) -> DataFrame:
-    """Result rows of all posts of a job, with source and slice; panel '' where nothing matched, or such
-    rows left out."""
+def received_posts(posts: DataFrame, spec: JobSpec) -> DataFrame:
+    """All posts of a job, of whatever site, with their slice."""
     present = posts.where(F.col("author").isNotNull() & F.col("s_id").isNotNull()
                           & F.col(target_name(spec.target)).isNotNull())
     slicer = with_slices_compat if spec.compat_slices else with_slices
-    routed = lab.route_to_sources(slicer(present, spec.start, spec.end), small(source_map))
-    labelled = lab.label_posts(routed, spec.model_type, spec.rules, spec.target, spec.case_sensitive,
-                               matched_only=matched_only)
+    return slicer(present, spec.start, spec.end)
+
+
+def labelled_posts(posts: DataFrame, spec: JobSpec, source_map: DataFrame,
+                   matched_only: bool = False, rules=None) -> DataFrame:
+    """Result rows of all posts of a job, with source and slice; panel '' where nothing matched, or such
+    rows left out.  ``rules`` is what the job's labels come from, if that is not in the description itself."""
+    routed = lab.route_to_sources(received_posts(posts, spec), small(source_map))
+    labelled = lab.label_posts(routed, spec.model_type, spec.rules if rules is None else rules, spec.target,
+                               spec.case_sensitive, spec.na_label, matched_only)
     return lab.project_results(labelled, spec.target, spec.task_id)
 
 
-def panels_of(spec: JobSpec) -> list[str] | None:
-    """Panel names the job can produce, in result form; None if only the model knows."""
-    if not isinstance(spec.rules, dict):
-        return None
+def load_rules(spark: SparkSession, spec: JobSpec):
+    """What a job labels with: its rules, or the stored term dictionary or forest it names."""
+    if not spec.model_path:
+        return spec.rules
+    if spec.model_type == "term_weight_model":
+        out: dict = {}
+        # A dictionary has at most constants.TERM_MAX_FEATURES terms per label.
+        for r in rule_sources.read_term_dict(spark, spec.model_path).orderBy("label", F.desc("weight"), "term").collect():
+            out.setdefault(r["label"], []).append((r["term"], r["weight"]))
+        return out
+    if spec.model_type == "random_forest_model":
+        from panelmill.operators.forest import load_model
+        return load_model(spec.model_path)
+    raise ValueError(f"{spec.model_type} takes rules, not a stored model")
+
+
+def panels_of(spec: JobSpec, rules=None) -> list[str]:
+    """Panel names the job can produce, in result form."""
     from panelmill.constants import LABEL_NAMES
-    return ["/" + LABEL_NAMES.get(name, name) for name in spec.rules]
+    rules = spec.rules if rules is None else rules
+    if isinstance(rules, dict):
+        names = list(rules) + ([spec.na_label] if spec.na_label else [])
+    else:
+        from panelmill.operators.forest import class_names
+        names = class_names(rules)
+    return list(dict.fromkeys("/" + LABEL_NAMES.get(name, name) for name in names))
 
 
 def named(matched: DataFrame) -> DataFrame:
@@ -45,14 +73,14 @@ def named(matched: DataFrame) -> DataFrame:
     return matched.withColumn("panel", lab.panel_name(F.col("panel")))
 
 
-def slice_results(matched: DataFrame, spec: JobSpec) -> DataFrame:
+def slice_results(matched: DataFrame, spec: JobSpec, rules=None) -> DataFrame:
     """Rows of the result table out of the matched posts: one per slice, author and winning panel."""
-    out = slice_votes(named(matched), keys=["source"], tie=spec.tie, labels=panels_of(spec))
+    out = slice_votes(named(matched), keys=["source"], tie=spec.tie, labels=panels_of(spec, rules))
     return out.select(*schemas.RESULT_COLUMNS, "source")
 
 
-def production_rows(results: DataFrame, spec: JobSpec) -> DataFrame:
-    return task_votes(results, ["source"], spec.tie, panels_of(spec))
+def production_rows(results: DataFrame, spec: JobSpec, rules=None) -> DataFrame:
+    return task_votes(results, ["source"], spec.tie, panels_of(spec, rules))
 
 
 def final_panel(column: str = "panel"):
@@ -60,15 +88,15 @@ def final_panel(column: str = "panel"):
     return F.when(F.col(column) == "", "").otherwise(lab.panel_name(F.col(column)))
 
 
-def job_panels(rows: DataFrame, spec: JobSpec) -> DataFrame:
+def job_panels(rows: DataFrame, spec: JobSpec, rules=None) -> DataFrame:
     """Panel and counters per author straight from the labelled posts, without the written tables."""
     slim = trimmed(rows.select("source", "slice", AUTHOR, final_panel().alias("panel")))
-    return metrics.author_panels(slim, panels_of(spec), tie=spec.tie)
+    return metrics.author_panels(slim, panels_of(spec, rules), tie=spec.tie)
 
 
-def job_metrics(rows: DataFrame, spec: JobSpec) -> DataFrame:
+def job_metrics(rows: DataFrame, spec: JobSpec, rules=None) -> DataFrame:
     """Figures per source of a job."""
-    return metrics.source_metrics(job_panels(rows, spec)).withColumn("task_id", F.lit(spec.task_id))
+    return metrics.source_metrics(job_panels(rows, spec, rules)).withColumn("task_id", F.lit(spec.task_id))
 
 
 def audit_row(spark: SparkSession, spec: JobSpec, seq: int, stat: str, **values) -> DataFrame:
@@ -83,31 +111,62 @@ def append_audit(row: DataFrame, output: str) -> None:
     row.write.mode("append").parquet(f"{output}/audit")
 
 
+def batches(spec: JobSpec) -> list[JobSpec]:
+    """The job cut into ranges of whole slices; one if it names no batch size."""
+    if not spec.batch_slices:
+        return [spec]
+    if spec.compat_slices:
+        raise ValueError("slices closed at both ends share posts and cannot be cut into batches")
+    step = timedelta(hours=SLICE_HOURS * spec.batch_slices)
+    cuts = [spec.start]
+    while cuts[-1] + step < spec.end:
+        cuts.append(cuts[-1] + step)
+    return [replace(spec, start=a, end=b) for a, b in zip(cuts, [*cuts[1:], spec.end])]
+
+
+def resume_from(spark: SparkSession, spec: JobSpec) -> datetime | None:
+    """Check point of the task's last state, if that is a failure."""
+    last = audit.task_by_id(read_audit(spark, spec.output), spec.task_id).select("stat", "check_point").collect()
+    return last[0]["check_point"] if last and last[0]["stat"] == "FAILURE" else None
+
+
 def run_task(spark: SparkSession, spec: JobSpec, source_map: DataFrame | None = None,
-             posts: DataFrame | None = None) -> DataFrame:
+             posts: DataFrame | None = None, resume: bool = False) -> DataFrame:
     """Run a job: write results and production, append the audit rows, return the figures per source.
 
-    The production stage reads the written result rows back, so an executor lost late in the job
-    costs no labelling work.  A failure is recorded with its message and raised again.
+    A run replaces all results and production rows that the task had.  Batches of slices are written one after the
+    other; a failure is recorded with its message and the start of the batch it happened in, and raised again.  With
+    ``resume`` a failed task goes on from there.  Production reads the written results back, so an executor lost late
+    in the job costs no labelling work; the audit row of success comes last, and dumps take finished tasks only.
     """
     began = time.time()
     seq = time.time_ns()
-    source_map = rule_sources.source_map(spark) if source_map is None else source_map
+    if source_map is None:
+        if not spec.source_map:
+            raise ValueError("a job needs the map of its site ids to sources")
+        source_map = rule_sources.read_source_map(spark, spec.source_map)
+    at = (resume_from(spark, spec) if resume else None) or spec.start
     append_audit(audit_row(spark, spec, seq, "PENDING"), spec.output)
     try:
         if spec.model_type == "rule_model":
             rule_sources.check_patterns(spark, [p for ps in spec.rules.values() for p in ps])
-        posts = read_posts(spark, spec.site, spec.start, spec.end) if posts is None else posts
-        matched = labelled_posts(posts, spec, source_map, matched_only=True)
+        rules = load_rules(spark, spec)
+        posts = read_posts(spark, spec.site, spec.start, spec.end, spec.compat_slices) if posts is None else posts
         results_path, prod_path = f"{spec.output}/results", f"{spec.output}/production"
-        tables.write_results(slice_results(matched, spec), results_path)
+        for i, part in enumerate(batches(spec)):
+            if part.end <= at:
+                continue
+            at = part.start
+            matched = labelled_posts(posts, part, source_map, True, rules)
+            tables.write_task(slice_results(matched, part, rules), results_path, spec.task_id, i)
         written = tables.task_rows(tables.read_results(spark, results_path), spec.task_id)
-        tables.write_production(production_rows(written, spec), prod_path)
+        tables.write_task(production_rows(written, spec, rules), prod_path, spec.task_id)
         prod = tables.task_rows(tables.read_results(spark, prod_path), spec.task_id)
 
-        # No label is computed for these columns.
-        rows = labelled_posts(posts, spec, source_map)
-        seen = (trimmed(rows.select("source", AUTHOR)).groupBy("source")
+        # No label is computed for these columns.  Sites of no source count as received, under no source.
+        routed = received_posts(posts, spec).join(small(source_map), "s_id", "left")
+        author = F.concat_ws("_", "s_id", "author").alias(AUTHOR)
+        seen = (trimmed(routed.select("source", author)).groupBy("source")
                 .agg(F.count("*").alias("n_received"), F.count_distinct(AUTHOR).alias("uniq_authors")))
         out = (seen.join(written.groupBy("source").agg(F.count("*").alias("n_labelled")), "source", "left")
                    .join(prod.groupBy("source").agg(F.count("*").alias("prod_rows")), "source", "left")
@@ -116,13 +175,14 @@ def run_task(spark: SparkSession, spec: JobSpec, source_map: DataFrame | None =
         # One row per source: the figures of the audit row.
         figures = [r.asDict() for r in out.orderBy("source").collect()]
     except Exception as e:
-        append_audit(audit_row(spark, spec, seq + 1, "FAILURE", error_message=str(e)[:4000],
-                               check_point=spec.start), spec.output)
+        append_audit(audit_row(spark, spec, seq + 1, "FAILURE", error_message=str(e), check_point=at), spec.output)
         raise
+    received = sum(f["n_received"] for f in figures)
+    figures = [f for f in figures if f["source"] is not None]
     labelled = [f for f in figures if f["n_labelled"]]
     append_audit(audit_row(
         spark, spec, seq + 1, "SUCCESS", prod_stat="finish" if labelled else "no_data",
-        length_receive_table=sum(f["n_received"] for f in figures),
+        length_receive_table=received,
         length_output_table=sum(f["n_labelled"] for f in figures),
         sources=[(f["source"], f["uniq_authors"], f["prod_rows"], f["rate"]) for f in labelled],
         run_time=(time.time() - began) / 60), spec.output)

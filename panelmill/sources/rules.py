@@ -106,9 +106,10 @@ def production_groups(spark: SparkSession) -> DataFrame:
 # --- training files ------------------------------------------------------------------------
 
 def read_training(spark: SparkSession, path: str, labels: Sequence[str] | None = None) -> DataFrame:
-    """TSV ``content<TAB>label`` with a header line that is replaced by these names."""
+    """TSV ``content<TAB>label`` with a header line that is replaced by these names.  Quoted texts may hold line
+    breaks, so a file is read by one task; large training sets come as many files."""
     df = spark.read.csv(path, sep="\t", header=True, enforceSchema=True, schema=schemas.TRAINING,
-                        escape='"')
+                        escape='"', multiLine=True, lineSep="\n", emptyValue="")
     return df if labels is None else df.where(F.col("label").isin(list(labels)))
 
 

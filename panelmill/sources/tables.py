@@ -1,5 +1,6 @@
 """Result, production and snapshot tables: partitioned folders that a repeated write replaces."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,28 +9,45 @@ from pyspark.sql import functions as F
 from panelmill import schemas
 
 
-def _write(df: DataFrame, path: str, parts: list[str], order: list[str]) -> None:
-    """Replace the partitions that ``df`` has rows for.  ``rebalance`` brings a partition's rows
-    together without forcing a hot one into a single task."""
+def _write(df: DataFrame, path: str, parts: list[str], order: list[str], mode: str = "dynamic") -> None:
+    """Replace the partitions that ``df`` has rows for, or with mode ``static`` all of ``path``.
+    ``rebalance`` brings a partition's rows together without forcing a hot one into a single task."""
     (df.hint("rebalance", *parts).sortWithinPartitions(*parts, *order)
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .write.mode("overwrite").option("partitionOverwriteMode", mode)
        .partitionBy(*parts).parquet(path))
 
 
+def _folder(name: str, value: str) -> str:
+    """Folder of a partition value, escaped as Spark does."""
+    return f"{name}=" + re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def write_task(df: DataFrame, path: str, task_id: str, batch: int = 0) -> None:
+    """Rows of one task, in place of all it had: a source or task without rows keeps none.  Later batches of a task
+    (ranges of its slices) replace only themselves and what a former run had for them."""
+    if task_id == "":
+        raise ValueError("a task needs an id")
+    folder = f"{path}/{_folder('task_id', task_id)}"
+    rows = df.drop("task_id")
+    if batch == 0:
+        _write(rows.withColumn("batch", F.lit(0)), folder, ["batch", "source"], ["create_time"], "static")
+    else:
+        _write(rows, f"{folder}/batch={batch}", ["source"], ["create_time"], "static")
+
+
 def write_results(df: DataFrame, path: str) -> None:
-    """Labelled rows; running a task again replaces its rows instead of doubling them."""
-    _write(df, path, ["task_id", "source"], ["create_time"])
+    """Rows of many tasks at once, result or production; a task is replaced source by source (see ``write_task`` for
+    one that is run again)."""
+    _write(df.withColumn("batch", F.lit(0)), path, ["task_id", "batch", "source"], ["create_time"])
 
 
-def write_production(df: DataFrame, path: str) -> None:
-    """Production rows of a task, in time order within each file."""
-    _write(df, path, ["source", "task_id"], ["create_time"])
+write_production = write_results
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     schema = "id string, source_author string, panel string, create_time timestamp_ntz, " \
-             "field_content string, match_content string, task_id string, source string"
-    return spark.read.schema(schema).parquet(path)
+             "field_content string, match_content string, task_id string, batch int, source string"
+    return spark.read.schema(schema).parquet(path).drop("batch")
 
 
 def task_rows(results: DataFrame, task_id: str, source: str | None = None) -> DataFrame:
@@ -55,8 +73,14 @@ def read_snapshot(spark: SparkSession, path: str, version: str | None = None) ->
                            "prod_group string, version string").parquet(path)
     if version is not None:
         return df.where(F.col("version") == version)
-    newest = (df.groupBy("prod_group").agg(F.max("version").alias("version")))
-    return df.join(newest, ["prod_group", "version"], "left_semi")
+    newest = {}
+    # One row per version folder of a group: the partition columns alone answer it, no file is opened.
+    for r in df.select("prod_group", "version").distinct().collect():
+        newest[r["prod_group"]] = max(newest.get(r["prod_group"], ""), r["version"])
+    keep = F.lit(False)
+    for group, v in sorted(newest.items()):
+        keep = keep | ((F.col("prod_group") == group) & (F.col("version") == v))
+    return df.where(keep)
 
 
 def pick_snapshots(names: DataFrame, prefix: str, groups: list[str]) -> DataFrame:
@@ -72,18 +96,15 @@ def export_path(base: str, name: str, now: datetime) -> str:
 
 
 def export_snapshot(df: DataFrame, base: str, name: str, now: datetime) -> str:
-    """Compressed text export under a dated folder, one sub-folder per production group."""
+    """Compressed export under a dated folder, one sub-folder per production group; Parquet, so that names may hold
+    line breaks, quotes and blanks."""
     path = export_path(base, name, now)
     # A plain overwrite: the dated folder belongs to this export alone.
-    (df.hint("rebalance", "prod_group").write.mode("overwrite").partitionBy("prod_group")
-       .option("header", "true").option("compression", "gzip").option("escape", '"')
-       .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
-       .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path))
+    df.hint("rebalance", "prod_group").write.mode("overwrite").partitionBy("prod_group").option("compression", "gzip").parquet(path)
     return path
 
 
 def import_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("header", "true").option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-                 .option("basePath", path)
+    return (spark.read.option("basePath", path)
                  .schema("source_author string, panel string, create_time timestamp_ntz, prod_group string")
-                 .csv(path))
+                 .parquet(path))

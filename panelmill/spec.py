@@ -22,6 +22,10 @@ class JobSpec:
     input_name: str = POST_TABLE
     compat_slices: bool = False                   # slices closed at both ends, short tail not read
     tie: str = "drop"                             # or "first_dropped", see operators.clean
+    na_label: str | None = None                   # label of posts that a term dictionary leaves without one
+    model_path: str = ""                          # stored term dictionary or forest, instead of rules
+    source_map: str = ""                          # CSV source_id,table; see sources.rules.read_source_map
+    batch_slices: int | None = None               # slices labelled and written at once; None: all
 
     def __post_init__(self):
         if self.start >= self.end:
@@ -47,4 +51,6 @@ class JobSpec:
                        rules=pattern, model_type=d.get("MODEL_TYPE", "keyword_model"),
                        target=d.get("PREDICT_TYPE", "author_name"), site=d.get("SITE_CONFIG") or {},
                        input_name=d.get("INPUT_TABLE") or POST_TABLE,
-                       output=output or d.get("OUTPUT_SCHEMA") or "")
+                       output=output or d.get("OUTPUT_SCHEMA") or "", case_sensitive=bool(d.get("CASE_SENSITIVE")),
+                       na_label=d.get("NA_TAG"), model_path=d.get("MODEL_PATH") or "",
+                       source_map=d.get("SOURCE_MAP") or "", batch_slices=d.get("BATCH_SLICES"))
