@@ -203,8 +203,8 @@ LONG_RULES = {"男性": [(w, "partially") for w in ("hewhou", "atare", "ingof",
 
 @query("first_label_many_rules", f"WITH {fx.POSTS} SELECT id, {fx.sql_first_label(LONG_RULES, 'content')} AS panel FROM posts")
 def first_label_many_rules(spark, sf):
-    """More keywords than are scanned for one by one."""
-    return lab.label_posts(fx.posts(spark, sf), "keyword_model", LONG_RULES).select("id", "panel")
+    """All keywords in one pass over a text."""
+    return fx.posts(spark, sf).select("id", lab.first_label("keyword_model", LONG_RULES, one_pass=True).alias("panel"))
 
 
 @query("spec_from_json", f"""SELECT CAST(event_id AS VARCHAR) AS id, 'keyword_model' AS model_type, event_type AS predict_type,
@@ -268,8 +268,8 @@ def term_weight_score(spark, sf):
 @query("term_weight_many_terms", f"""WITH {tw_sql(LONG_TERMS)} SELECT d.id, coalesce(string_agg(s.label, ',' ORDER BY s.label_pos), '-') AS labels
  FROM docs d LEFT JOIN scores s ON s.id = d.id AND s.score > 0.3 GROUP BY d.id""")
 def term_weight_many_terms(spark, sf):
-    """More terms than are counted one by one."""
-    labels = term_weight.term_labels(spark, LONG_TERMS, na_label="-")
+    """All terms in one pass over a text."""
+    labels = term_weight.labels(LONG_TERMS, na_label="-", one_pass=True)
     return fx.doc_posts(spark, sf).select("id", F.array_join(labels, ",").alias("labels"))
 
 

@@ -10,10 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.constants import LABEL_NAMES, MATCH_TYPES
-from panelmill.functions.text import java_pattern, let, target_text
+from panelmill.functions.anchors import words_in
+from panelmill.functions.text import java_pattern, let, target_name, target_text
 from panelmill.operators import term_weight
 
 
+#: "partially" keywords, or terms, from which one pass over a text (functions.anchors) is cheaper than a search for
+#: each; both find the same.
+ONE_PASS = {"content": 100, "title": 200, "author": 200, "s_area_id": 200}
+
+
+def one_pass_pays(n_words: int, target: str) -> bool:
+    return n_words > ONE_PASS[target_name(target)]
+
+
 def keywords_by_type(rules: Sequence[tuple], case_sensitive: bool = False) -> dict[str, list[str]]:
     """match type -> keywords of one label; a rule may name several types, also as ``"start,end"``."""
     out: dict[str, list[str]] = {t: [] for t in MATCH_TYPES}
@@ -29,11 +39,13 @@ def _count(text: Column, words: list[str], test) -> Column:
     return F.size(F.filter(F.lit(words), lambda k: test(text, k)))
 
 
-def keyword_score(text: Column, kws: Mapping[str, Sequence[str]]) -> Column:
+def keyword_score(text: Column, kws: Mapping[str, Sequence[str]], inside: Column | None = None) -> Column:
     """One point if any "partially" keyword is found, however many are, and one point for each other
-    rule that holds."""
+    rule that holds.  ``inside`` says whether one is found, if that is known already."""
     parts = []
-    if kws["partially"]:
+    if inside is not None:
+        parts.append(inside.cast("int"))
+    elif kws["partially"]:
         parts.append(F.exists(F.lit(kws["partially"]), lambda k: F.contains(text, k)).cast("int"))
     if kws["absolutely"]:
         parts.append(_count(text, kws["absolutely"], lambda t, k: t == k))
@@ -84,50 +96,65 @@ def regex_hit(text: Column, patterns: Sequence[str]) -> Column:
     return hit
 
 
-def _scores(text: Column, model: str, rules: Mapping, case_sensitive: bool) -> list[tuple[str, Column]]:
-    if model == "rule_model":
-        return [(label, regex_score(text, ps)) for label, ps in rules.items()]
-    return [(label, keyword_score(text, keywords_by_type(rs, case_sensitive))) for label, rs in rules.items()]
+def _inside(text: Column, kws: Sequence[Mapping]) -> Column:
+    """Numbers of the labels that have a "partially" keyword in the text."""
+    entries = [(w, no, 0.0) for no, k in enumerate(kws) for w in dict.fromkeys(k["partially"])]
+    return F.array_distinct(F.transform(words_in(text, entries), lambda e: e["no"]))
+
+
+def _many(kws: Sequence[Mapping], target: str, one_pass: bool | None) -> bool:
+    return one_pass_pays(sum(len(k["partially"]) for k in kws), target) if one_pass is None else one_pass
 
 
 def match_counts(model: str, rules: Mapping, target: str = "content",
-                 case_sensitive: bool = False) -> Column:
-    """Matched labels of a row with their scores, by priority: array of (label, n)."""
-    def body(t):
-        scored = F.array(*[F.struct(F.lit(label).alias("label"), n.alias("n"))
-                           for label, n in _scores(t, model, rules, case_sensitive)])
+                 case_sensitive: bool = False, one_pass: bool | None = None) -> Column:
+    """Matched labels of a row with their scores, by priority: array of (label, n).  ``one_pass`` asks for or against
+    one pass for all keywords; by default their number decides."""
+    def listed(scores):
+        scored = F.array(*[F.struct(F.lit(label).alias("label"), n.alias("n")) for label, n in zip(rules, scores)])
         return F.filter(scored, lambda s: s["n"] > 0)
-    return let(target_text(target, case_sensitive and model == "keyword_model"), body)
+
+    if model == "rule_model":
+        return let(target_text(target, False), lambda t: listed([regex_score(t, ps) for ps in rules.values()]))
+    text = target_text(target, case_sensitive)
+    kws = [keywords_by_type(rs, case_sensitive) for rs in rules.values()]
+    if not _many(kws, target, one_pass):
+        return let(text, lambda t: listed([keyword_score(t, k) for k in kws]))
+    return let(text, lambda t: let(_inside(t, kws), lambda found: listed(
+        [keyword_score(t, k, F.array_contains(found, no)) for no, k in enumerate(kws)])))
 
 
 def multi_label(model: str, rules: Mapping, target: str = "content", case_sensitive: bool = False) -> Column:
     return F.transform(match_counts(model, rules, target, case_sensitive), lambda s: s["label"])
 
 
-def first_label(model: str, rules: Mapping, target: str = "content", case_sensitive: bool = False) -> Column:
+def first_label(model: str, rules: Mapping, target: str = "content", case_sensitive: bool = False,
+                one_pass: bool | None = None) -> Column:
     """The matching label of highest priority, '' if none; later labels are not even tested."""
-    def body(t):
+    names = list(rules)
+
+    def chain(hits):
         out = None
-        for label, rs in rules.items():
-            hit = (regex_hit(t, rs) if model == "rule_model"
-                   else keyword_hit(t, keywords_by_type(rs, case_sensitive)))
+        for label, hit in zip(names, hits):
             out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
         return F.lit("") if out is None else out.otherwise(F.lit(""))
-    text = target_text(target, case_sensitive and model == "keyword_model")
-    # Regexes run as generated code when they stay outside a lambda.
-    return body(text) if model == "rule_model" else let(text, body)
 
+    if model == "rule_model":
+        # Regexes run as generated code when they stay outside a lambda.
+        text = target_text(target, False)
+        return chain([regex_hit(text, ps) for ps in rules.values()])
+    text = target_text(target, case_sensitive)
+    kws = [keywords_by_type(rs, case_sensitive) for rs in rules.values()]
+    if not _many(kws, target, one_pass):
+        return let(text, lambda t: chain([keyword_hit(t, k) for k in kws]))
+
+    def body(t):
+        inside = F.array_min(_inside(t, kws))
+        rest = [keyword_hit(t, {**k, "partially": []}) for k in kws]
+        other = F.coalesce(*[F.when(hit, F.lit(no)) for no, hit in enumerate(rest)])
+        return F.coalesce(F.get(F.lit(names), F.least(inside, other)), F.lit(""))
 
-def first_keyword_label(spark, rules: Mapping, target: str = "content", case_sensitive: bool = False) -> Column:
-    """``first_label`` for keyword rules of any number: with many "partially" keywords for the length of
-    the target, one automaton pass per text replaces one scan per keyword."""
-    from panelmill.operators import rule_join
-    kws = {name: keywords_by_type(rs, case_sensitive) for name, rs in rules.items()}
-    if not rule_join.automaton_pays(sum(len(k["partially"]) for k in kws.values()), target):
-        return first_label("keyword_model", rules, target, case_sensitive)
-    triples = [(no, w, kind) for no, k in enumerate(kws.values()) for kind, words in k.items() for w in words]
-    no = rule_join.first_label_no(triples, spark)(target_text(target, case_sensitive))
-    return F.coalesce(F.get(F.lit(list(kws)), no), F.lit(""))
+    return let(text, body)
 
 
 def _with_panel(posts: DataFrame, panel: Column, matched_only: bool) -> DataFrame:
@@ -147,11 +174,11 @@ def label_posts(posts: DataFrame, model: str, rules, target: str = "content", ca
     ``term_weight_model``, or a fitted pipeline for ``random_forest_model``.
     """
     if model == "keyword_model":
-        return _with_panel(posts, first_keyword_label(posts.sparkSession, rules, target, case_sensitive), matched_only)
+        return _with_panel(posts, first_label(model, rules, target, case_sensitive), matched_only)
     if model == "rule_model":
         return _with_panel(posts, first_label(model, rules, target, case_sensitive), matched_only)
     if model == "term_weight_model":
-        labels = term_weight.term_labels(posts.sparkSession, rules, target, na_label=na_label)
+        labels = term_weight.labels(rules, target, na_label=na_label)
         return _with_panel(posts, F.coalesce(F.get(labels, F.lit(0)), F.lit("")), matched_only)
     if model == "random_forest_model":
         from panelmill.operators import forest
@@ -172,7 +199,6 @@ def panel_name(panel: Column) -> Column:
 
 def project_results(df: DataFrame, target: str, task_id: str | Column) -> DataFrame:
     """Result columns of labelled posts: author with its site, site and matched text."""
-    from panelmill.functions.text import target_name
     return df.select("id", (F.lit(task_id) if isinstance(task_id, str) else task_id).alias("task_id"),
                      F.concat_ws("_", "s_id", "author").alias("source_author"),
                      F.col("post_time").alias("create_time"), "panel",

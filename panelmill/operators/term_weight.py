@@ -1,28 +1,30 @@
 """Term-weight labelling: mean weight of the dictionary terms found in a text."""
 
-import sys
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.constants import TERM_THRESHOLD
+from panelmill.functions.anchors import words_in
 from panelmill.functions.text import count_substring, let, target_name
 
 
-# Tasks get the functions of this module by value: executors need not have the package installed.
-register_pickle_by_value(sys.modules[__name__])
+def _counted(text: Column, entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(e["term"].alias("term"), e["weight"].alias("weight"),
+                                                   count_substring(text, e["term"]).alias("n")))
 
 
 def _found(text: Column, terms: Sequence[tuple[str, float]]) -> Column:
     """(term, weight, n) of the terms of one label that occur in the text."""
     entries = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("weight")) for t, w in terms])
-    hits = F.filter(entries, lambda e: F.contains(text, e["term"]))
-    return F.transform(hits, lambda e: F.struct(e["term"].alias("term"), e["weight"].alias("weight"),
-                                                count_substring(text, e["term"]).alias("n")))
+    return _counted(text, F.filter(entries, lambda e: F.contains(text, e["term"])))
+
+
+def _found_of(text: Column, all_found: Column, no: int) -> Column:
+    """The same for label ``no``, from what one pass found for all labels."""
+    own = F.filter(all_found, lambda e: e["no"] == no)
+    return _counted(text, F.transform(own, lambda e: F.struct(e["w"].alias("term"), e["weight"].alias("weight"))))
 
 
 def _mean_weight(found: Column) -> Column:
@@ -32,80 +34,34 @@ def _mean_weight(found: Column) -> Column:
                        lambda a: F.when((a["s"] != 0) & (a["n"] > 0), a["s"] / a["n"]))
 
 
-def matches(terms: Mapping[str, Sequence], target: str = "content") -> Column:
+def matches(terms: Mapping[str, Sequence], target: str = "content", one_pass: bool | None = None) -> Column:
     """All labels with a found term: array of (label, matches, score).  The text is compared as
-    written; letters keep their case."""
-    def one(t, label, tw):
-        return let(_found(t, tw), lambda f: F.struct(
-            F.lit(label).alias("label"), f.alias("matches"), _mean_weight(f).alias("score")))
+    written; letters keep their case.  Trained dictionaries have up to 10,000 terms per label: many terms are looked
+    for in one pass (functions.anchors), in the order of the dictionary."""
+    def one(label, found):
+        return let(found, lambda f: F.struct(F.lit(label).alias("label"), f.alias("matches"), _mean_weight(f).alias("score")))
 
-    def body(t):
-        return F.filter(F.array(*[one(t, label, tw) for label, tw in terms.items()]),
-                        lambda r: F.size(r["matches"]) > 0)
-    return let(F.col(target_name(target)), body)
+    def kept(rows):
+        return F.filter(F.array(*rows), lambda r: F.size(r["matches"]) > 0)
+
+    from panelmill.operators.label import one_pass_pays
+    text = F.col(target_name(target))
+    if not (one_pass_pays(sum(len(tw) for tw in terms.values()), target) if one_pass is None else one_pass):
+        return let(text, lambda t: kept([one(label, _found(t, tw)) for label, tw in terms.items()]))
+    entries = [(t, no, float(w)) for no, tw in enumerate(terms.values()) for t, w in tw]
+    return let(text, lambda t: let(words_in(t, entries), lambda found: kept(
+        [one(label, _found_of(t, found, no)) for no, label in enumerate(terms)])))
 
 
 def labels(terms: Mapping[str, Sequence], target: str = "content", threshold: float = TERM_THRESHOLD,
-           na_label: str | None = None) -> Column:
+           na_label: str | None = None, one_pass: bool | None = None) -> Column:
     """Labels above the threshold, in dictionary order; ``na_label`` if there are none."""
-    above = F.transform(F.filter(matches(terms, target), lambda r: r["score"] > threshold), lambda r: r["label"])
+    above = F.transform(F.filter(matches(terms, target, one_pass), lambda r: r["score"] > threshold), lambda r: r["label"])
     if na_label is None:
         return above
     return let(above, lambda a: F.when(F.size(a) == 0, F.array(F.lit(na_label))).otherwise(a))
 
 
-def term_labels(spark, terms: Mapping[str, Sequence], target: str = "content", threshold: float = TERM_THRESHOLD,
-                na_label: str | None = None) -> Column:
-    """``labels`` for dictionaries of any size: trained ones have up to 10,000 terms per label, and one
-    automaton pass per text then replaces one scan per term."""
-    from panelmill.operators.rule_join import automaton_pays
-    if not automaton_pays(sum(len(tw) for tw in terms.values()), target):
-        return labels(terms, target, threshold, na_label)
-    names = list(terms)
-    shared = spark.sparkContext.broadcast([(t, float(w), no) for no, tw in enumerate(terms.values()) for t, w in tw])
-
-    @F.pandas_udf("array<int>")
-    def above(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = term_scorer(shared.value)
-        for batch in texts:
-            yield batch.map(lambda t: [no for no, s in score(t) if s > threshold], na_action=None)
-
-    found = F.transform(above(F.col(target_name(target))), lambda i: F.get(F.lit(names), i))
-    if na_label is None:
-        return found
-    return let(found, lambda a: F.when(F.size(a) == 0, F.array(F.lit(na_label))).otherwise(a))
-
-
-def term_scorer(entries):
-    """Function text -> [(label number, mean weight)] over (term, weight, label number) entries."""
-    import ahocorasick
-
-    tree = ahocorasick.Automaton()
-    uses = defaultdict(list)
-    for term, weight, no in entries:
-        uses[term].append((no, weight))
-        tree.add_word(term, term)
-    tree.make_automaton()
-
-    def score(text):
-        if text is None:
-            return []
-        count, free_from = Counter(), {}
-        for end, term in tree.iter(text):
-            start = end - len(term) + 1
-            if start >= free_from.get(term, 0):
-                count[term] += 1
-                free_from[term] = end + 1
-        weighted, total = defaultdict(float), Counter()
-        for term, n in count.items():
-            for no, weight in uses[term]:
-                weighted[no] += weight * n
-                total[no] += n
-        return [(no, weighted[no] / total[no]) for no in sorted(total)]
-
-    return score
-
-
 def score_with_table(posts: DataFrame, terms: DataFrame, target: str = "content") -> DataFrame:
     """Scores (id, label, score, n_terms) for a dictionary that stays a table.
 

@@ -5,7 +5,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,20 @@ def fixed_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     return spark.createDataFrame(arrow, schema)
 
 
+def maybe_in(df: DataFrame, column: Column, members: DataFrame, member: Column) -> DataFrame:
+    """Rows of ``df`` whose hash ``column`` (a long) may be among the hashes ``member`` of ``members``.
+
+    A bit table of at most 2**26 bits (a million short rows) goes to all tasks, so what is sent is bounded; rows that
+    pass by chance are for the join that follows."""
+    n = max(1, members.count())
+    bits = min(26, max(14, (8 * n).bit_length()))
+    word = F.shiftrightunsigned("_hash", 64 - bits + 6)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_hash").bitwiseAND(F.lit(63)).cast("int"))
+    table = members.select(member.alias("_hash")).groupBy(word.alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    d = df.withColumn("_hash", column).withColumn("_w", word).join(F.broadcast(table), F.col("_w") == F.col("_word"))
+    return d.where(F.col("_bits").bitwiseAND(one) != 0).drop("_hash", "_w", "_word", "_bits")
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread an input of fewer splits than cores (a few unsplittable files) over all cores; an input
     that has enough splits is left as it is."""

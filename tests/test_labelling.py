@@ -119,23 +119,40 @@ def test_all_ways_agree(spark, seed):
     want = brute(texts, rules)
     rows = lambda d: {(r["id"], r["label_pos"], r["label"], r["n"]) for r in d.collect()}
     assert rows(rule_join.match_by_join(df, frame)) == want
-    assert rows(rule_join.match_by_automaton(df, frame)) == want
     assert rows(rule_join.match_rules(df, frame)) == want
-    inline = df.select("id", F.explode(lab.match_counts("keyword_model", rules)).alias("m"))
-    assert {(r["id"], r["m"]["label"], r["m"]["n"]) for r in inline.collect()} == {(a, c, d) for a, _, c, d in want}
+    for one_pass in (False, True):
+        inline = df.select("id", F.explode(lab.match_counts("keyword_model", rules, one_pass=one_pass)).alias("m"))
+        assert {(r["id"], r["m"]["label"], r["m"]["n"]) for r in inline.collect()} == {(a, c, d) for a, _, c, d in want}
     first = {i: min((p, label) for j, p, label, _ in want if j == i)[1] for i, *_ in want}
-    got = lab.label_posts(df, "keyword_model", rules).select("id", "panel").collect()
-    assert {r["id"]: r["panel"] for r in got} == {i: first.get(i, "") for i, _ in texts}
+    for one_pass in (False, True):
+        got = df.select("id", lab.first_label("keyword_model", rules, one_pass=one_pass).alias("panel")).collect()
+        assert {r["id"]: r["panel"] for r in got} == {i: first.get(i, "") for i, _ in texts}
     joined = {r["id"]: r["panel"] for r in rule_join.first_labels(rule_join.match_by_join(df, frame)).collect()}
     assert joined == first
 
 
-def test_automaton_is_used_for_many_keywords_only(spark):
+@pytest.mark.parametrize("rules", [
+    {"l": [("ab", "start"), ("ab", "end")]}, {"l": [("", "end"), ("", "partially")], "m": [("", "start"), ("", "absolutely")]},
+    {"l": [("a", "absolutely")], "m": []}, {"l": [("ab", "start"), ("ab", "start"), ("b", "partially"), ("b", "partially")]},
+    {"l": [("ab" * n, t) for n in range(1, 700) for t in ("start", "end")] + [("x" * 1500, "partially")]}])
+def test_odd_rules_agree(spark, rules):
+    """No "partially" rule, empty and repeated keywords, over a thousand lengths."""
+    texts = [("1", ""), ("2", "ab"), ("3", "abab" * 300), ("4", "b" + "x" * 1501), ("5", "a")]
+    df = posts(spark, *[(i, "a", t) for i, t in texts])
+    frame = rule_sources.keyword_rule_frame(spark, rules)
+    want = brute(texts, rules)
+    rows = lambda d: {(r["id"], r["label_pos"], r["label"], r["n"]) for r in d.collect()}
+    assert rows(rule_join.match_by_join(df, frame)) == want
+    for one_pass in (False, True):
+        inline = df.select("id", F.explode(lab.match_counts("keyword_model", rules, one_pass=one_pass)).alias("m"))
+        assert {(r["id"], r["m"]["label"], r["m"]["n"]) for r in inline.collect()} == {(a, c, d) for a, _, c, d in want}
+
+
+def test_no_python_in_labelling(spark):
     df = posts(spark, ("1", "a", "x"))
-    plan = lambda n: lab.label_posts(df, "keyword_model", {"l": [(f"k{i}", "partially") for i in range(n)]}) \
-        ._jdf.queryExecution().toString()
-    assert "ArrowEvalPython" not in plan(5)
-    assert "ArrowEvalPython" in plan(100)
+    for n in (5, 3000):
+        plan = lab.label_posts(df, "keyword_model", {"l": [(f"k{i}", "partially") for i in range(n)]})._jdf.queryExecution().toString()
+        assert "EvalPython" not in plan
 
 
 # --- term weights ---------------------------------------------------------------------------
@@ -158,26 +175,11 @@ def test_term_weights_against_brute_force(spark):
     assert {(r["id"], r["label"]): round(r["score"], 9) for r in table.collect()} == {k: round(v, 9) for k, v in want.items()}
     got = {r["id"]: r["l"] for r in df.select("id", term_weight.labels(TERMS, na_label="none").alias("l")).collect()}
     assert got == {i: [x for x in TERMS if want.get((i, x), 0) > 0.3] or ["none"] for i, _ in texts}
-    score = term_weight.term_scorer([(t, w, no) for no, tw in enumerate(TERMS.values()) for t, w in tw])
-    names = list(TERMS)
-    scored = {(i, names[no]): s for i, t in texts for no, s in score(t)}
-    assert scored == pytest.approx(want)
+    one = {r["id"]: r["l"] for r in df.select("id", term_weight.labels(TERMS, na_label="none", one_pass=True).alias("l")).collect()}
+    assert one == got
 
 
 def test_tokens(spark):
     df = spark.createDataFrame([("Hello wörld a b2 x", ), ("我愛你 ok", ), ("", )], "t string")
     got = [r[0] for r in df.select(text.word_tokens(F.col("t"))).collect()]
     assert got == [["hello", "wörld", "b2"], ["我愛", "愛你", "我愛你", "ok"], []]
-
-
-def test_tasks_do_not_need_the_package(tmp_path):
-    """The functions sent to tasks load in a Python that has never seen this package."""
-    import subprocess
-    import sys
-
-    from pyspark import cloudpickle
-    (tmp_path / "f").write_bytes(cloudpickle.dumps((rule_join.keyword_scanner, term_weight.term_scorer)))
-    code = ("import pickle; k, t = pickle.load(open('f', 'rb')); "
-            "print(k([(0, 'ab', 'partially')])('xaby'), t([('a', 0.5, 1)])('aa'))")
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
-    assert out.stdout.strip() == "[(0, 1)] [(1, 0.5)]", out.stderr

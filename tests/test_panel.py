@@ -86,6 +86,10 @@ def test_dump_needs_finished_tasks(spark):
     assert audit.require_finished(state, ["t1"]).count() == 1
     with pytest.raises(audit.UnfinishedTask, match="t2"):
         audit.require_finished(state, ["t1", "t2"])
+    with pytest.raises(audit.UnfinishedTask):
+        audit.require_finished(state, None)
+    with pytest.raises(audit.UnfinishedTask, match="t9"):
+        audit.require_finished(state, ["t1", "t9"])
 
 
 def test_groups_of_a_task_with_several_sources(spark):
