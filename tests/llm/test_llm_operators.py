@@ -279,7 +279,7 @@ def lines_by_hand(spark, rows, similarity=0.8):
     keys = list(norms)
     sims = []
     for n in keys:
-        own = n.split(" ")
+        own = sorted(set(n.split(" ")))
         c = sum(bits[w] for w in own)
         sims.append(sum(1 << b for b in range(64) if 2 * c[b] > len(own)))
     sims, up = np.array(sims, np.uint64), list(range(len(keys)))
