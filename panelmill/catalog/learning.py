@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from panelmill import constants
 from panelmill.catalog import fixtures as fx
 from panelmill.catalog.base import query
 from panelmill.catalog.scans import TERM_DICT, term_dict_df
@@ -140,35 +141,50 @@ def label_explode(spark, sf):
     return evaluate.explode_labels(joined)
 
 
-# --- training (no SQL) ---------------------------------------------------------------------
+# --- training: at the fixed sizes; SQL states what any trained model must satisfy ------------
 
-SMALL = dict(trees=20, max_features=500, max_depth=5)      # model size, not data size
+def training(spark, sf):
+    return fx.training_df(spark, sf)
 
 
-@query("rf_train")
+@query("rf_train", f"WITH {fx.TRAINING} SELECT label, count(*) AS n, TRUE AS learned FROM training GROUP BY 1")
 def rf_train(spark, sf):
-    """Training accuracy per label of a forest on all labelled documents."""
-    train = fx.training_df(spark, sf)
-    out = forest.predict(forest.train_forest(train, **SMALL), train)
-    return out.groupBy("label", "predicted").agg(F.count("*").alias("n"))
+    """A forest finds most of its own training labels again."""
+    train = training(spark, sf)
+    out = forest.predict(forest.train_forest(train), train)
+    return out.groupBy("label").agg(F.count("*").alias("n"), (F.count_if(F.col("label") == F.col("predicted")) > 0.8 * F.count("*")).alias("learned"))
 
 
-@query("rf_predict")
+@query("rf_predict", """SELECT CAST(doc_id AS VARCHAR) AS id, 2 AS n_classes, CAST(1 AS DOUBLE) AS total, TRUE AS leads FROM documents""")
 def rf_predict(spark, sf):
-    """Prediction and class probabilities of all documents."""
-    model = forest.train_forest(fx.training_df(spark, sf), **SMALL)
+    """Class probabilities of every document sum to one, and the predicted class has the greatest."""
+    model = forest.train_forest(training(spark, sf))
     out = forest.predict(model, fx.doc_posts(spark, sf))
-    return out.select("id", "predicted", F.explode("probabilities").alias("p")).select("id", "predicted", "p.label", "p.p")
+    p = F.col("probabilities")
+    top = F.array_max(F.transform(p, lambda x: x["p"]))
+    own = F.filter(p, lambda x: x["label"] == F.col("predicted"))
+    return out.select("id", F.size(p).alias("n_classes"), F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x["p"]), 9).alias("total"),
+                      (own[0]["p"] == top).alias("leads"))
 
 
-@query("rf_multilabel")
+@query("rf_multilabel", f"SELECT CAST(doc_id AS VARCHAR) AS id, {len(CLASSES)} AS n_classes, TRUE AS agrees FROM documents")
 def rf_multilabel(spark, sf):
-    feats, forests = forest.train_forest_multilabel(fx.training_df(spark, sf), CLASSES, **SMALL)
+    """The predicted labels of every document are those with a probability above one half."""
+    feats, forests = forest.train_forest_multilabel(training(spark, sf), CLASSES)
     out = forest.predict_multilabel(feats, forests, fx.doc_posts(spark, sf))
-    return out.select("id", F.array_join("predicted", ",").alias("predicted"))
+    p = F.col("probabilities")
+    fits = F.forall(p, lambda x: (x["p"] >= 0) & (x["p"] <= 1) & ((x["p"] > 0.5) == F.array_contains("predicted", x["label"])))
+    return out.select("id", F.size(p).alias("n_classes"), fits.alias("agrees"))
 
 
-@query("term_weight_train")
+TRAIN_WORDS = r"regexp_extract_all(lower(content), '[\p{L}\p{N}_]{2,}')"
+
+
+@query("term_weight_train", f"""WITH {fx.TRAINING}, v AS (SELECT term FROM (SELECT DISTINCT id, unnest({TRAIN_WORDS}) AS term FROM training)
+ WHERE term NOT IN ({STOPPED}) GROUP BY 1 HAVING count(*) >= 5)
+ SELECT label, (SELECT least(count(*), {constants.TERM_MAX_FEATURES}) FROM v) AS n_terms, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+ FROM (VALUES {', '.join(f"('{c}')" for c in CLASSES)}) c(label)""")
 def term_weight_train(spark, sf):
-    terms = forest.train_term_weights(fx.training_df(spark, sf), CLASSES, max_features=1000, min_df=5, max_iter=20)
-    return forest.top_terms(terms)
+    """Weights of the whole vocabulary for each label, scaled to [0, 1].  The smallest tables have no term in 50 texts."""
+    terms = forest.train_term_weights(training(spark, sf), CLASSES, stop_words=STOP, min_df=5)
+    return terms.groupBy("label").agg(F.count("*").alias("n_terms"), F.min("weight").alias("lo"), F.max("weight").alias("hi"))

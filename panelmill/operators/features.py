@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from panelmill.functions.text import char_tokens, target_name, word_tokens
 
 
-def tokens(target: str = "content", stop_words: Sequence[str] = ()) -> Column:
+def english_stop_words() -> list[str]:
+    """Spark's English list, the default of all features below; ``()`` keeps every word."""
+    from pyspark.ml.feature import StopWordsRemover
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
+def tokens(target: str = "content", stop_words: Sequence[str] | None = None) -> Column:
     """Token array of a text: words (or Han pieces); characters for author names."""
     name = target_name(target)
     if name == "author":
@@ -16,14 +22,14 @@ def tokens(target: str = "content", stop_words: Sequence[str] = ()) -> Column:
     return _without(word_tokens(name), stop_words)
 
 
-def _without(toks: Column, stop_words: Sequence[str]) -> Column:
-    if not stop_words:
+def _without(toks: Column, stop_words: Sequence[str] | None) -> Column:
+    stop = english_stop_words() if stop_words is None else list(stop_words)
+    if not stop:
         return toks
-    stop = list(stop_words)
     return F.filter(toks, lambda t: ~t.isin(stop))
 
 
-def term_counts(df: DataFrame, target: str = "content", stop_words: Sequence[str] = ()) -> DataFrame:
+def term_counts(df: DataFrame, target: str = "content", stop_words: Sequence[str] | None = None) -> DataFrame:
     """(id, term, tf).  Counts are made on the task that holds the text, before the shuffle."""
     # The filter changes nothing, but keeps the plan equal to what a later join on term makes of it, so
     # that vocabulary and weights share one shuffle.
@@ -44,7 +50,7 @@ def idf(df: Column, n_docs: int) -> Column:
 
 
 def tfidf(docs: DataFrame, target: str = "content", max_features: int = 5000, min_df: int = 2,
-          stop_words: Sequence[str] = ()) -> DataFrame:
+          stop_words: Sequence[str] | None = None) -> DataFrame:
     """(id, term, tf, tfidf) with unit length per text.
 
     The vocabulary has at most ``max_features`` rows and is broadcast for that reason.

@@ -14,6 +14,10 @@ from panelmill import constants
 from panelmill.operators.features import tokens
 
 
+#: The deepest trees that Spark grows; unlimited ones are not offered.
+MAX_DEPTH = 30
+
+
 def _feature_stages(docs: DataFrame, max_features: int, min_df: float) -> list:
     """Fitted stages tokens -> unit-length tf-idf vectors with idf = ln((1+n)/(1+df)) + 1.
 
@@ -28,13 +32,13 @@ def _feature_stages(docs: DataFrame, max_features: int, min_df: float) -> list:
     return [cv, scale, norm]
 
 
-def with_tokens(docs: DataFrame, target: str = "content", stop_words: Sequence[str] = ()) -> DataFrame:
+def with_tokens(docs: DataFrame, target: str = "content", stop_words: Sequence[str] | None = None) -> DataFrame:
     return docs.withColumn("tokens", tokens(target, stop_words))
 
 
 def train_forest(examples: DataFrame, target: str = "content", trees: int = constants.FOREST_TREES,
                  max_features: int = constants.FOREST_MAX_FEATURES, min_df: float = constants.FOREST_MIN_DF,
-                 stop_words: Sequence[str] = (), seed: int = 0, max_depth: int = 10) -> PipelineModel:
+                 stop_words: Sequence[str] | None = None, seed: int = 0, max_depth: int = MAX_DEPTH) -> PipelineModel:
     """Random forest over TF-IDF for one label per text (column ``label``)."""
     docs = with_tokens(examples, target, stop_words)
     stages = _feature_stages(docs, max_features, min_df)
@@ -52,7 +56,7 @@ def class_names(model: PipelineModel) -> list[str]:
 
 
 def predict(model: PipelineModel, docs: DataFrame, target: str = "content",
-            stop_words: Sequence[str] = ()) -> DataFrame:
+            stop_words: Sequence[str] | None = None) -> DataFrame:
     """Add ``predicted`` and ``probabilities``, an array of (label, p)."""
     names = class_names(model)
     out = model.transform(with_tokens(docs, target, stop_words))
@@ -63,8 +67,8 @@ def predict(model: PipelineModel, docs: DataFrame, target: str = "content",
 
 def train_forest_multilabel(examples: DataFrame, classes: Sequence[str], target: str = "content",
                             trees: int = constants.FOREST_TREES, max_features: int = constants.FOREST_MAX_FEATURES,
-                            min_df: float = constants.FOREST_MIN_DF, stop_words: Sequence[str] = (),
-                            seed: int = 0, max_depth: int = 10) -> tuple[PipelineModel, dict[str, Transformer]]:
+                            min_df: float = constants.FOREST_MIN_DF, stop_words: Sequence[str] | None = None,
+                            seed: int = 0, max_depth: int = MAX_DEPTH) -> tuple[PipelineModel, dict[str, Transformer]]:
     """One binary forest per class of the array column ``labels``; the vectors are made once."""
     docs = with_tokens(examples, target, stop_words)
     features = PipelineModel(_feature_stages(docs, max_features, min_df))
@@ -79,13 +83,13 @@ def train_forest_multilabel(examples: DataFrame, classes: Sequence[str], target:
 
 
 def predict_multilabel(features: PipelineModel, forests: dict[str, Transformer], docs: DataFrame,
-                       target: str = "content", stop_words: Sequence[str] = ()) -> DataFrame:
+                       target: str = "content", stop_words: Sequence[str] | None = None) -> DataFrame:
     """Add ``predicted`` (labels with p > 0.5) and ``probabilities``."""
     out = features.transform(with_tokens(docs, target, stop_words)).select(*docs.columns, "features")
-    for c, model in forests.items():
-        m = model.copy().setPredictionCol(f"_y_{c}").setProbabilityCol(f"_p_{c}").setRawPredictionCol(f"_r_{c}")
-        out = m.transform(out).withColumn(f"_p_{c}", vector_to_array(f"_p_{c}")[1]).drop(f"_y_{c}", f"_r_{c}")
-    probs = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"_p_{c}").alias("p")) for c in forests])
+    for i, model in enumerate(forests.values()):
+        m = model.copy().setPredictionCol(f"_y_{i}").setProbabilityCol(f"_p_{i}").setRawPredictionCol(f"_r_{i}")
+        out = m.transform(out).withColumn(f"_p_{i}", vector_to_array(f"_p_{i}")[1]).drop(f"_y_{i}", f"_r_{i}")
+    probs = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"_p_{i}").alias("p")) for i, c in enumerate(forests)])
     out = out.withColumn("probabilities", probs)
     picked = F.transform(F.filter("probabilities", lambda x: x["p"] > 0.5), lambda x: x["label"])
     return out.withColumn("predicted", picked).select(*docs.columns, "predicted", "probabilities")
@@ -101,7 +105,7 @@ def load_model(path: str) -> PipelineModel:
 
 def train_term_weights(examples: DataFrame, classes: Sequence[str], target: str = "content",
                        max_features: int = constants.TERM_MAX_FEATURES, min_df: float = constants.TERM_MIN_DF,
-                       stop_words: Sequence[str] = (), reg: float = 1e-4, max_iter: int = 50) -> DataFrame:
+                       stop_words: Sequence[str] | None = None, reg: float = 1e-4, max_iter: int = 50) -> DataFrame:
     """(label, term, weight): per class of ``labels`` the coefficients of a balanced logistic regression
     of that class against the rest, scaled to [0, 1]."""
     spark = examples.sparkSession
