@@ -95,6 +95,14 @@ def passes(policy: str = "v2") -> Column:
     return F.col("rule_bits").bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0
 
 
+def accepted(docs: DataFrame, text: str = "text", policy: str = "v2") -> DataFrame:
+    """The rows of ``docs`` that pass a policy.  A filter on the mask would be pushed below the measurements and take
+    them once for every rule, so rows are kept by exploding a list of none or one."""
+    judged = ledger(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text")), ["_doc"], "_text")
+    one = F.filter(F.array("rule_bits"), lambda b: b.bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0)
+    return judged.select("_doc", F.explode(one).alias("_bits")).select("_doc.*")
+
+
 def ablation(entries: DataFrame, policy: str = "v2") -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone, and that pass once it is left out.
 
