@@ -13,7 +13,7 @@ from panelmill.functions.slices import slice_index
 from panelmill.operators.clean import slice_votes, task_votes
 from panelmill.plans.tasks import labelled_posts, named, panels_of
 from panelmill.schemas import SOURCE_MAP as SOURCE_MAP_SCHEMA
-from panelmill.session import fixed_table, spread, work_dir
+from panelmill.session import fixed_table, work_dir
 from panelmill.sources.rules import production_groups
 from panelmill.sources.tables import read_results, write_production
 from panelmill.spec import JobSpec
@@ -212,6 +212,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small test table of one unsplittable file over all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """The texts: the part of the input that all the work hangs on."""
     return spread(table(spark, sf, "documents"), "doc_id")

@@ -62,7 +62,7 @@ def tasks_to_groups(state: DataFrame, groups: DataFrame, first_source_only: bool
     ``first_source_only`` sends all sources of a task to the group of its first one.
     """
     s = result_sources(state)
-    dim = F.broadcast(groups)          # one row per source, a fixed table
+    dim = groups          # one row per source: Spark sees its size and broadcasts it
     if not first_source_only:
         return s.join(dim, "source").select("prod_group", "task_id", "source")
     lead = F.element_at(F.split("result", ","), 1)
@@ -74,7 +74,7 @@ def tables_to_groups(tables: DataFrame, groups: DataFrame) -> DataFrame:
     """(prod_group, name): result tables by the source at the end of their names; an error if there is none."""
     from panelmill.functions.text import last_token
     named = tables.withColumn("source", last_token("name"))
-    found = named.join(F.broadcast(groups), "source").select("prod_group", "name")
+    found = named.join(groups, "source").select("prod_group", "name")
     if found.isEmpty():
         raise ValueError("none of the tables belongs to a production group")
     return found

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.text import trim_author
 from panelmill.operators import audit, panel
 from panelmill.operators.clean import AUTHOR
-from panelmill.session import materialize, small
+from panelmill.session import materialize
 
 
 def group_current(production: DataFrame, state: DataFrame, groups: DataFrame, task_ids: Sequence[str] | None = None,
@@ -17,7 +17,7 @@ def group_current(production: DataFrame, state: DataFrame, groups: DataFrame, ta
     """(prod_group, source_author, panel): production rows of the given tasks (all if None) by group; every task that
     takes part must have finished."""
     where = audit.tasks_to_groups(audit.require_finished(state, task_ids), groups, first_source_only)
-    return production.join(small(where), ["task_id", "source"]).select("prod_group", AUTHOR, "panel")
+    return production.join(where, ["task_id", "source"]).select("prod_group", AUTHOR, "panel")
 
 
 def dump_groups(current: DataFrame, old: DataFrame, term: str, now: datetime, compat: bool = False,
@@ -59,7 +59,7 @@ def dump_checked(current: DataFrame, old: DataFrame, term: str, now: datetime) -
 def last_production(production: DataFrame, groups: DataFrame, task_id: str | None = None) -> DataFrame:
     """Rows of each production group: one per source table, author and panel, the latest kept."""
     df = production if task_id is None else production.where(F.col("task_id") == task_id)
-    df = df.join(F.broadcast(groups), "source").withColumn(AUTHOR, trim_author(AUTHOR))
+    df = df.join(groups, "source").withColumn(AUTHOR, trim_author(AUTHOR))
     rest = [c for c in df.columns if c not in ("prod_group", "source", AUTHOR, "panel", "create_time", "id")]
     row = F.max(F.struct("create_time", "id", *rest)).alias("_r")
     return (df.groupBy("prod_group", "source", AUTHOR, "panel").agg(row)

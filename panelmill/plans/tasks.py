@@ -15,7 +15,6 @@ from panelmill.operators import audit
 from panelmill.operators import label as lab
 from panelmill.operators import metrics
 from panelmill.operators.clean import AUTHOR, slice_votes, task_votes, trimmed
-from panelmill.session import small
 from panelmill.sources import rules as rule_sources
 from panelmill.sources import tables
 from panelmill.sources.posts import read_posts
@@ -34,7 +33,7 @@ def labelled_posts(posts: DataFrame, spec: JobSpec, source_map: DataFrame,
                    matched_only: bool = False, rules=None) -> DataFrame:
     """Result rows of all posts of a job, with source and slice; panel '' where nothing matched, or such
     rows left out.  ``rules`` is what the job's labels come from, if that is not in the description itself."""
-    routed = lab.route_to_sources(received_posts(posts, spec), small(source_map))
+    routed = lab.route_to_sources(received_posts(posts, spec), source_map)
     labelled = lab.label_posts(routed, spec.model_type, spec.rules if rules is None else rules, spec.target,
                                spec.case_sensitive, spec.na_label, matched_only)
     return lab.project_results(labelled, spec.target, spec.task_id)
@@ -164,7 +163,7 @@ def run_task(spark: SparkSession, spec: JobSpec, source_map: DataFrame | None =
         prod = tables.task_rows(tables.read_results(spark, prod_path), spec.task_id)
 
         # No label is computed for these columns.  Sites of no source count as received, under no source.
-        routed = received_posts(posts, spec).join(small(source_map), "s_id", "left")
+        routed = received_posts(posts, spec).join(source_map, "s_id", "left")
         author = F.concat_ws("_", "s_id", "author").alias(AUTHOR)
         seen = (trimmed(routed.select("source", author)).groupBy("source")
                 .agg(F.count("*").alias("n_received"), F.count_distinct(AUTHOR).alias("uniq_authors")))

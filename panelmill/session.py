@@ -76,17 +76,3 @@ def maybe_in(df: DataFrame, column: Column, members: DataFrame, member: Column)
     table = members.select(member.alias("_hash")).groupBy(word.alias("_word")).agg(F.bit_or(one).alias("_bits"))
     d = df.withColumn("_hash", column).withColumn("_w", word).join(F.broadcast(table), F.col("_w") == F.col("_word"))
     return d.where(F.col("_bits").bitwiseAND(one) != 0).drop("_hash", "_w", "_word", "_bits")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input of fewer splits than cores (a few unsplittable files) over all cores; an input
-    that has enough splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows; otherwise the join is
-    left to Spark, which shuffles and lets AQE split skewed keys."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
