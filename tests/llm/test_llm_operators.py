@@ -331,10 +331,11 @@ def test_repeated_rows_and_blank_lines(spark):
 
 
 def test_giant_lines_and_the_bits_of_simhash(spark, monkeypatch):
-    d = spark.createDataFrame([(1, "a b c d e f g a b")], "doc_id long, text string")
-    one = fuzzy_lines.simhashed(fuzzy_lines._lines(d, "doc_id", "text")).first()["sim"]
-    monkeypatch.setattr(fuzzy_lines, "GIANT", 3)
-    assert fuzzy_lines.simhashed(fuzzy_lines._lines(d, "doc_id", "text")).first()["sim"] == one
+    lines = [" ".join(f"w{i * j}" for j in range(1, n)) for i, n in enumerate([2, 3, 7, 8, 9, 15, 40, 300], 1)]
+    d = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    few = {r["pos"]: r["sim"] for r in fuzzy_lines.simhashed(fuzzy_lines._lines(d, "doc_id", "text")).collect()}
+    monkeypatch.setattr(fuzzy_lines, "GIANT", 1)
+    assert {r["pos"]: r["sim"] for r in fuzzy_lines.simhashed(fuzzy_lines._lines(d, "doc_id", "text")).collect()} == few
 
 
 def test_pigeonhole_finds_all_near_values(spark):
