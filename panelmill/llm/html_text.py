@@ -96,10 +96,26 @@ def _marked(stack) -> bool:
     return any(t in ("article", "main") for t, _ in stack)
 
 
+def _known(name: str) -> bool:
+    """Whether a feature is the name or tag of an element known not to be main text."""
+    return name.lstrip(".") in (ASIDE_NAMES if name[0] == "." else ASIDE_TAGS)
+
+
+def _main(stack) -> bool:
+    """Whether words here are main text of a labelled page: in its article, and below no known aside within it."""
+    inside = False
+    for tag, names in stack:
+        if inside and any(_known(n) for n in names if n not in ("header", ".header")):
+            return False
+        inside = inside or tag in ("article", "main")
+    return inside
+
+
 def evidence(page: str) -> dict[str, list[int]] | None:
     """Feature -> [tokens inside, outside] of a labelled page; None if it is none.
 
-    Features: ``tag:x`` per tag, and ``in:x`` per name of an element around words, counted by words."""
+    Features: ``tag:x`` per tag, and ``in:x`` per name of an element around words, counted by words.  Words of comments,
+    adverts and the like count as outside also where they lie in the article."""
     low = page.lower()
     if low.count("<article") + low.count("<main") != 1:
         return None
@@ -109,6 +125,7 @@ def evidence(page: str) -> dict[str, list[int]] | None:
         if kind == "text":
             n = len(value.split())
             if n:
+                side = 0 if _main(stack) else 1
                 for f in {f for _, fs in stack for f in fs}:
                     out.setdefault("in:" + f, [0, 0])[side] += n
                 out.setdefault("word", [0, 0])[side] += n
@@ -141,8 +158,7 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     for k, (a, b) in counts.items():
         if k.startswith("in:"):
             name = k[3:]
-            known = name.lstrip(".") in (ASIDE_NAMES if name[0] == "." else ASIDE_TAGS)
-            pa, pb = (0.5, 50) if known else (5, 5 / odds)
+            pa, pb = (0.5, 50) if _known(name) else (5, 5 / odds)
             out[k] = math.log((a + pa) / (b + pb) / odds)
         elif k.startswith("tag:"):
             out[k] = -0.05 - 0.25 * b / (a + b + 1)
@@ -159,7 +175,7 @@ class Extractor:
         low = 0.0
         for n in names:
             w = self.model.get("in:" + n)
-            if w is None and n.lstrip(".") in (ASIDE_NAMES if n[0] == "." else ASIDE_TAGS):
+            if w is None and _known(n):
                 w = -4.0
             if w is not None and w < low:
                 low = w

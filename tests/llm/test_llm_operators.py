@@ -408,6 +408,23 @@ def test_training_counts_tokens_in_and_out():
     assert html_text.evidence("<p>none</p>") is None
 
 
+@pytest.mark.parametrize("n", [2, 5, 300])
+def test_asides_in_labelled_articles_are_not_learned_as_main_text(n):
+    def page(i):
+        body = "".join(f"<p>{' '.join(f'text{i}x{k}x{j}' for j in range(100))}</p>" for k in range(4))
+        return (f"<html><body><div class=top>{'site ' * 20}</div><article>{body}<div class=comments>{'said ' * 60}</div>"
+                f"<div class=advert>{'buy ' * 20}</div><aside>{'more ' * 20}</aside></article></body></html>")
+
+    sums = defaultdict(lambda: [0, 0])
+    for i in range(n):
+        for k, (a, b) in html_text.evidence(page(i)).items():
+            sums[k][0] += a
+            sums[k][1] += b
+    x = html_text.Extractor(html_text.weights(sums))
+    for i in range(n):
+        assert x.text(page(i)) == "\n\n".join(" ".join(f"text{i}x{k}x{j}" for j in range(100)) for k in range(4))
+
+
 # ---------------------------------------------------------------- 9
 
 
