@@ -190,19 +190,27 @@ class Extractor:
             inside = inside or tag in ("article", "main")
         return False
 
+    def within(self, stack) -> bool:
+        """Whether this lies in an article, marked as such or by a name that tells of main text in labelled pages."""
+        return any(t in ("article", "main") or any(self.model.get("in:" + n, 0.0) > 1.0 for n in names) for t, names in stack)
+
     def region(self, page: str) -> list[tuple[str, str, bool]]:
         """The tokens of the best region: (kind, value, whether it lies in an element that is not main text)."""
         seen, best, top, run, begin, cache = [], (0, 0), 0.0, 0.0, 0, {}
         for kind, value, stack in tokens(page):
-            off = False
+            off, free = False, False
             if stack:
                 inner = stack[-1]
                 key = (id(inner), len(stack))
-                off = cache.get(key)
-                if off is None:
-                    off = cache[key] = self.aside(stack)
+                known = cache.get(key)
+                if known is None:
+                    known = self.aside(stack)
+                    known = cache[key] = known, known and self.within(stack)
                     cache[("kept", key)] = inner  # its id stays in use
-            if kind == "text":
+                off, free = known
+            if free:
+                score = 0.0  # left out of the text anyway, and the article goes on after it
+            elif kind == "text":
                 n = len(value.split())
                 score = -0.2 * n if off else 1.0 * n
             else:

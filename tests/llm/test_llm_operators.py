@@ -425,6 +425,16 @@ def test_asides_in_labelled_articles_are_not_learned_as_main_text(n):
         assert x.text(page(i)) == "\n\n".join(" ".join(f"text{i}x{k}x{j}" for j in range(100)) for k in range(4))
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_boxes_within_an_article_do_not_cut_it(tag):
+    body = " ".join(f"w{i}" for i in range(300))
+    items = "".join(f"<li><a href=x>entry {i} of box</a></li>" for i in range(60))
+    page = (f"<html><body><nav>{'menu ' * 30}</nav><{tag}><h1>Six words of a long headline</h1><div class=advert>{'buy ' * 80}</div>"
+            f"<p>{body}</p><aside><ul>{items}</ul></aside><p>The last words.</p><div class=comments>{'said ' * 50}</div></{tag}>"
+            f"<footer>{'foot ' * 30}</footer></body></html>")
+    assert html_text.Extractor({}).text(page) == f"Six words of a long headline\n\n{body}\n\nThe last words."
+
+
 # ---------------------------------------------------------------- 9
 
 
