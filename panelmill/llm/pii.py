@@ -52,8 +52,9 @@ DOT = re.compile(_DOT, re.I)
 DOT_BEFORE = re.compile(_DOT + r"\Z", re.I)
 LABEL = re.compile(r"[A-Za-z0-9-]+")
 DIGIT_DOT = re.compile(r"(?<=[0-9])" + _DOT + r"(?=[0-9])", re.I)
-NUMBER_RUN = re.compile(r"(?i)\b(?:(?:{0})\b[ \t,.-]{{1,2}}){{2,}}(?:{0})\b".format("|".join(DIGIT_WORDS)))
-NUMBER = re.compile(r"(?i)\b(?:{})\b".format("|".join(DIGIT_WORDS)))
+# Numerals and digit words in a row, with one line end at most between two of them.
+NUMBER_RUN = re.compile(r"(?i)\b(?:(?:{0}|[0-9]++)\b(?:[ \t,.-]{{0,2}}\r?\n[ \t]{{0,8}}|[ \t,.-]{{1,2}}))+(?:{0}|[0-9]++)\b".format("|".join(DIGIT_WORDS)))
+NUMBER = re.compile(r"(?i)\b(?:{}|[0-9]++)\b".format("|".join(DIGIT_WORDS)))
 PLUS = re.compile(r"(?i)\bplus[ \t]{1,2}(?=[0-9])")
 BRACKETED = re.compile(r"(?i)[\[({<]\s{0,3}(?:at|@|dot|\.|punkt|point|punto|arroba|arobase)\s{0,3}[\])}>]")
 
@@ -151,15 +152,22 @@ def unmask_characters(x: Aligned) -> Aligned:
 
 
 def unmask_digits(x: Aligned) -> Aligned:
-    """Runs of three or more digits written as words; single blanks between them go, other separators stay."""
+    """Digits written as words next to another or to a numeral; blanks and a line end between two words go, between a
+    word and a numeral they become one blank, other separators stay."""
     edits = []
     for run in NUMBER_RUN.finditer(x.text):
-        at = None
+        at, before = None, False
         for m in NUMBER.finditer(x.text, run.start(), run.end()):
-            if at is not None and at < m.start() and not x.text[at:m.start()].strip():
-                edits.append((at, m.start(), ""))
-            edits.append((m.start(), m.end(), DIGIT_WORDS[m[0].lower()]))
-            at = m.end()
+            word = not m[0].isdecimal()
+            if at is not None and (word or before):
+                gap = x.text[at:m.start()]
+                new = "" if word and before else " "
+                new = gap if gap.strip() and "\n" not in gap else gap.strip() or new
+                if new != gap:
+                    edits.append((at, m.start(), new))
+            if word:
+                edits.append((m.start(), m.end(), DIGIT_WORDS[m[0].lower()]))
+            at, before = m.end(), word
     return x.rewrite(edits)
 
 

@@ -113,6 +113,20 @@ def test_disguises_map_back_to_the_source(text, kind, value):
     assert (kind, value, True) in [(k, text[a:b], d) for k, a, b, d in pii.spans(text)]
 
 
+@pytest.mark.parametrize("text, kind, value", [
+    ("call +49 one seven 123 four five 67 89 now", "phone", "+49 one seven 123 four five 67 89"),
+    ("card 4111 1111 1111 11 one one now", "card", "4111 1111 1111 11 one one"),
+    ("card 4111 one 111 1111 1111 now", "card", "4111 one 111 1111 1111"),
+    ("plus four four two zero\nseven nine four six zero nine five eight.", "phone", "plus four four two zero\nseven nine four six zero nine five eight"),
+    ("card 4111 1111 one one\r\n11 1111 now", "card", "4111 1111 one one\r\n11 1111")])
+def test_numerals_and_digit_words_in_one_run(text, kind, value):
+    assert (kind, value, True) in [(k, text[a:b], d) for k, a, b, d in pii.spans(text)]
+
+
+def test_digit_words_beside_plain_spans_and_prose():
+    assert pii.spans("ip 192.168.0.1 two of 3 one\n\ntwo") == [("ip", 3, 14, False)]
+
+
 @pytest.mark.parametrize("text", ["look at example.com for more", "one two three go", "we met at noon. dot matters", "un dos tres"])
 def test_no_disguise_in_plain_prose(text):
     assert not pii.spans(text)
