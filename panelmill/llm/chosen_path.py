@@ -306,7 +306,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     ``n_links`` (other rows of at least the similarity), ``kept`` (one row of each class).  ``similarity`` is a fraction
     (numerator, denominator)."""
     least = similarity[0] / similarity[1]
-    rows = materialize(described(docs, key, text, n, runs_for(recall, least, branch), branch), "sets")
+    rows = materialize(described(docs, key, text, n, runs_for(recall, least, branch, deepest), branch), "sets")
     sigs = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("u").alias("u"), F.count("*").alias("weight"), F.min("k").alias("least"))
     sigs = materialize(sigs, "signatures")
     nodes = rows.drop("sig").join(sigs.select("u", "weight"), "u")

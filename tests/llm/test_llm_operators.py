@@ -525,6 +525,22 @@ def test_one_of_each_keeps_clean_rows(spark, near_rows):
     assert len(kept) == len(set(kept)) == len(classes)
 
 
+def test_runs_hold_the_recall_for_split_buckets(docs, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def described(docs, key, text, n, runs, branch):
+        meet = 1.0
+        for _ in range(chosen_path.DEEPEST):
+            meet = 1 - math.exp(-branch * 0.8 * meet)
+        assert (1 - meet) ** runs <= 1e-4
+        raise Seen
+
+    monkeypatch.setattr(chosen_path, "described", described)
+    with pytest.raises(Seen):
+        chosen_path.jaccard_classes(docs)
+
+
 def test_recall_of_runs():
     assert chosen_path.runs_for(0.9999, 0.8) > chosen_path.runs_for(0.99, 0.8) >= 3
     rng = np.random.default_rng(3)
