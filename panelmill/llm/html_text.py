@@ -4,11 +4,13 @@ by weights learned from labelled pages, and one linear scan finds the best conti
 Labelled pages are those that mark their main text themselves (one ``article`` or ``main`` element): tokens inside
 against tokens outside give the log-odds of each tag and of words by the most telling element around them.  At most
 ``sample`` pages are used for the fit (a documented bound, chosen by a hash); pseudo-counts of well-known element names
-stand in where labelled pages are few.  Extraction is row-wise and needs no such mark.
+stand in where labelled pages are few.  Names known to tell of asides count before anything is learned about them, but
+never against an element that holds most of the page's main text.  Extraction is row-wise, needs no mark, and takes time in
+proportion to the page.
 
 Nulls and edge cases: null and empty pages give an empty text; unclosed tags, comments and scripts end with the page;
 among regions of equal score the first is taken; repeated rows are treated each for itself; an empty table gives an
-empty result; only key, url and html are read, so other columns may clash or be null.
+empty result; a ``<`` that opens no tag is text; only key, url and html are read, so other columns may clash or be null.
 """
 
 from __future__ import annotations
@@ -39,11 +41,13 @@ ASIDE_NAMES = frozenset(
     "breadcrumb breadcrumbs header masthead footer bottom sidebar side aside widget related recommended share social comment comments "
     "commentlist reply replies discussion disqus reader cookie cookies consent notice notices gdpr popup modal newsletter subscribe "
     "signup login search form copyright legal pagination pager toolbar".split())
+#: Words that turn a name around, as in ``no-sidebar`` or ``ad-free``.
+TURNS = frozenset("no not non without with has free is".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>{raw})\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
+    r"|<(?P<raw>{raw})\b(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/)?(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr2>[^<>]*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)".format(raw="|".join(RAW)), re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -51,64 +55,91 @@ SPACE = re.compile(r"\s+")
 
 
 def features(tag: str, attr: str) -> list[str]:
-    """Names of an element that weights attach to: its tag and the words of its class, id and role."""
+    """Names of an element that weights attach to: its tag, and each name of its class, id and role as a whole."""
     out = [tag] if tag in TELLING_TAGS else []
     for m in NAMES.finditer(attr) if attr else ():
-        out += ["." + w for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w]
+        out += ["." + w for w in (m[1] or m[2] or m[3] or "").lower().split()]
     return out
 
 
-def tokens(page: str):
-    """(kind, value, open elements) of a page: tags as they come, and runs of text.
-
-    A closing tag ends the innermost open element of its name and all within; a block ends an open paragraph."""
-    stack: list[tuple[str, list[str]]] = []
-    for m in TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            yield "text", text, stack
-            continue
-        tag = m["tag"] or m["tag2"]
-        if not tag:
-            continue  # comments, declarations, scripts and the like
-        tag = tag.lower()
-        if m["close"] or m["close2"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            yield "close", tag, stack
-            continue
-        attr = m["attr"] if m["tag"] else m["attr2"]
-        if tag in BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        if tag not in VOID and not attr.endswith("/"):
-            stack.append((tag, features(tag, attr)))
-        yield "open", tag, stack
-
-
-def _marked(stack) -> bool:
-    return any(t in ("article", "main") for t, _ in stack)
+def _known(name: str) -> bool:
+    """Whether a feature is the tag of an element known not to be main text, or a name with such a word in it and none that
+    turns it around."""
+    if name[0] != ".":
+        return name in ASIDE_TAGS
+    parts = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    return not TURNS.intersection(parts) and not ASIDE_NAMES.isdisjoint(parts)
 
 
-def _known(name: str) -> bool:
-    """Whether a feature is the name or tag of an element known not to be main text."""
-    return name.lstrip(".") in (ASIDE_NAMES if name[0] == "." else ASIDE_TAGS)
+class Parsed:
+    """Tokens (kind, value, element) of a page, kind one of text, open and close, and its elements by number: parent, tag, names,
+    words in all, words in article or main elements, and those of them that lie in such an element below.  Element 0 is the page.
 
+    A closing tag ends the innermost open element of its name and all within; a block ends an open paragraph."""
 
-def _main(stack) -> bool:
-    """Whether words here are main text of a labelled page: in its article, and below no known aside within it."""
-    inside = False
-    for tag, names in stack:
-        if inside and any(_known(n) for n in names if n not in ("header", ".header")):
-            return False
-        inside = inside or tag in ("article", "main")
-    return inside
+    def __init__(self, page: str):
+        self.tokens: list[tuple[str, str, int]] = []
+        self.parent, self.tag, self.names = [0], [""], [[]]
+        own, stack, blocks, count = [0], [0], [0], {}  # blocks: places in the stack of open blocks
+
+        def cut(at: int) -> None:
+            while len(stack) > at:
+                count[self.tag[stack.pop()]] -= 1
+            while blocks[-1] >= at:
+                blocks.pop()
+
+        for m in TOKEN.finditer(page):
+            text = m["text"]
+            if text is not None:
+                own[stack[-1]] += len(text.split())
+                self.tokens.append(("text", text, stack[-1]))
+                continue
+            tag = m["tag"] or m["tag2"]
+            if not tag:
+                continue  # comments, declarations, scripts and the like
+            tag = tag.lower()
+            if m["close"] or m["close2"]:
+                if count.get(tag):
+                    at = len(stack) - 1
+                    while self.tag[stack[at]] != tag:
+                        at -= 1
+                    cut(at)
+                self.tokens.append(("close", tag, stack[-1]))
+                continue
+            attr = m["attr"] if m["tag"] else m["attr2"]
+            if tag in BLOCK and self.tag[stack[blocks[-1]]] == "p":
+                cut(blocks[-1])
+            if tag not in VOID and not attr.endswith("/"):
+                self.parent.append(stack[-1])
+                self.tag.append(tag)
+                self.names.append(features(tag, attr))
+                own.append(0)
+                stack.append(len(own) - 1)
+                count[tag] = count.get(tag, 0) + 1
+                if tag in BLOCK:
+                    blocks.append(len(stack) - 1)
+            self.tokens.append(("open", tag, stack[-1]))
+        n = len(own)
+        marked = [False] * n
+        for i in range(1, n):
+            marked[i] = marked[self.parent[i]] or self.tag[i] in ("article", "main")
+        self.words = own
+        self.in_mark = [w if f else 0 for w, f in zip(own, marked)]
+        self.mark_below = [0] * n
+        self.marked = marked
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            self.words[up] += self.words[i]
+            self.in_mark[up] += self.in_mark[i]
+            self.mark_below[up] += self.in_mark[i] if self.tag[i] in ("article", "main") else self.mark_below[i]
+
+    def holds_marks(self, i: int) -> bool:
+        """Whether an element is a frame of the page: one of those that always are, or around most of what articles hold."""
+        return self.tag[i] in ("", "html", "body", "main", "article") or 2 * self.mark_below[i] > max(1, self.in_mark[0])
+
+    def holds_most(self, i: int) -> bool:
+        """Whether an element has most of the main text by its mark, or else of all text."""
+        return 2 * self.in_mark[i] > self.in_mark[0] if self.in_mark[0] else 2 * self.words[i] > self.words[0]
 
 
 def evidence(page: str) -> dict[str, list[int]] | None:
@@ -119,18 +150,23 @@ def evidence(page: str) -> dict[str, list[int]] | None:
     low = page.lower()
     if low.count("<article") + low.count("<main") != 1:
         return None
+    d = Parsed(page)
+    main, around = [False] * len(d.parent), [frozenset()] * len(d.parent)
+    for i in range(1, len(d.parent)):
+        up = d.parent[i]
+        around[i] = around[up].union(d.names[i]) if d.names[i] else around[up]
+        aside = d.marked[up] and not d.holds_most(i) and any(_known(n) for n in d.names[i] if n not in ("header", ".header"))
+        main[i] = d.marked[i] and (main[up] or not d.marked[up]) and not aside
     out: dict[str, list[int]] = {}
-    for kind, value, stack in tokens(page):
-        side = 0 if _marked(stack) else 1
+    for kind, value, i in d.tokens:
         if kind == "text":
             n = len(value.split())
             if n:
-                side = 0 if _main(stack) else 1
-                for f in {f for _, fs in stack for f in fs}:
-                    out.setdefault("in:" + f, [0, 0])[side] += n
-                out.setdefault("word", [0, 0])[side] += n
+                for f in around[i]:
+                    out.setdefault("in:" + f, [0, 0])[not main[i]] += n
+                out.setdefault("word", [0, 0])[not main[i]] += n
         else:
-            out.setdefault("tag:" + value, [0, 0])[side] += 1
+            out.setdefault("tag:" + value, [0, 0])[not d.marked[i]] += 1
     return out
 
 
@@ -168,54 +204,34 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 class Extractor:
     def __init__(self, model: dict[str, float]):
         self.model = model
-        self.known: dict[str, float] = {}
-
-    def around(self, names: list[str]) -> float:
-        """The lowest weight among the names of one element."""
-        low = 0.0
-        for n in names:
-            w = self.model.get("in:" + n)
-            if w is None and _known(n):
-                w = -4.0
-            if w is not None and w < low:
-                low = w
-        return low
-
-    def aside(self, stack) -> bool:
-        """Whether some open element is telling enough of what is not main text; the heading part of an article is."""
-        inside = False
-        for tag, names in stack:
-            if self.around([n for n in names if not (inside and n in ("header", ".header"))]) < -1.5:
-                return True
-            inside = inside or tag in ("article", "main")
-        return False
-
-    def within(self, stack) -> bool:
-        """Whether this lies in an article, marked as such or by a name that tells of main text in labelled pages."""
-        return any(t in ("article", "main") or any(self.model.get("in:" + n, 0.0) > 1.0 for n in names) for t, names in stack)
+
+    def learned(self, names: list[str]) -> float:
+        """The lowest weight learned for a name of one element."""
+        return min((self.model.get("in:" + n, 0.0) for n in names), default=0.0)
 
     def region(self, page: str) -> list[tuple[str, str, bool]]:
         """The tokens of the best region: (kind, value, whether it lies in an element that is not main text)."""
-        seen, best, top, run, begin, cache = [], (0, 0), 0.0, 0.0, 0, {}
-        for kind, value, stack in tokens(page):
-            off, free = False, False
-            if stack:
-                inner = stack[-1]
-                key = (id(inner), len(stack))
-                known = cache.get(key)
-                if known is None:
-                    known = self.aside(stack)
-                    known = cache[key] = known, known and self.within(stack)
-                    cache[("kept", key)] = inner  # its id stays in use
-                off, free = known
-            if free:
+        d = Parsed(page)
+        n = len(d.parent)
+        off, within = [False] * n, [False] * n  # not main text; in an article, by its mark or by a name learned to tell so
+        for i in range(1, n):
+            up, names = d.parent[i], d.names[i]
+            within[i] = within[up] or d.tag[i] in ("article", "main") or any(self.model.get("in:" + x, 0.0) > 1.0 for x in names)
+            if d.marked[up]:  # the heading part of an article belongs to it
+                names = [x for x in names if x not in ("header", ".header")]
+            told = self.learned(names) < -1.5 and not d.holds_marks(i)
+            guess = any("in:" + x not in self.model and _known(x) for x in names) and not d.holds_marks(i) and not d.holds_most(i)
+            off[i] = off[up] or told or guess
+        seen, best, top, run, begin = [], (0, 0), 0.0, 0.0, 0
+        for kind, value, i in d.tokens:
+            if off[i] and within[i]:
                 score = 0.0  # left out of the text anyway, and the article goes on after it
             elif kind == "text":
-                n = len(value.split())
-                score = -0.2 * n if off else 1.0 * n
+                words = len(value.split())
+                score = -0.2 * words if off[i] else 1.0 * words
             else:
                 score = self.model.get("tag:" + value, -0.2)
-            seen.append((kind, value, off))
+            seen.append((kind, value, off[i]))
             if run <= 0:
                 run, begin = 0.0, len(seen) - 1
             run += score

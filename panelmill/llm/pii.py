@@ -87,7 +87,7 @@ def find(t: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind, leftmost and non-overlapping; matches that fail their check are dropped."""
     return {
         "email": list(_emails(t)),
-        "ip": [m.span() for m in IP.finditer(t) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))],
+        "ip": [m.span() for m in IP.finditer(t) if all(len(d := p.lstrip("0")) < 4 and int(d or 0) < 256 for p in m[0].split("."))],
         "card": [m.span() for m in CARD.finditer(t)
                  if m.end() - m.start() >= 13 and 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d)],
         "phone": [m.span() for m in PHONE.finditer(t) if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15] if "+" in t else [],

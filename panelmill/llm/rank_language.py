@@ -3,9 +3,9 @@ compared to each language's ranked profile by out-of-place distance.
 
 Training counts n-grams of labelled rows with one shuffle of (language, n-gram) counts; at most ``per_language`` rows
 of a language are used (a documented bound for the fit), chosen by a hash.  A profile has ``top`` n-grams, so the model
-holds languages times ``top`` rows.  Prediction is row-wise.
+holds languages times ``top`` rows, of all languages.  Prediction is row-wise.
 
-Nulls and edge cases: a null text, or one without a letter, is ``und`` with score 0; null labels are not learned; ties
+Nulls and edge cases: letters are those of Unicode, with the marks on them; a null text, or one without a letter, is ``und`` with score 0; null labels are not learned; ties
 between n-grams go to the smaller code points, ties between languages to the first by name; repeated rows are
 judged each for itself; with nothing to learn from, every row is ``und``; an empty table gives an empty result.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +25,17 @@ by_value(__name__)
 
 TOP, SIZES, PER_LANGUAGE, SLICE = 400, (1, 2, 3), 3_000, 1 << 20
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Characters of which some are numerals or marks that the pattern above takes wrongly; letters and marks by category.
+UNUSUAL = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u02b0-\U0010ffff]")
+NOT_LETTERS_OR_MARKS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of the letter n-grams of a whole text; words are set off by one blank."""
-    t = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not t:
+    t = (text or "").lower()
+    usual = not UNUSUAL.search(t)
+    t = (NOT_LETTERS if usual else NOT_LETTERS_OR_MARKS).sub(" ", t).strip()
+    if not t or not usual and not LETTER.search(t):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a = np.frombuffer(f" {t} ".encode("utf-32-le"), np.uint32).astype(np.int64)
     keys, counts = [], []
@@ -61,9 +67,8 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", pick: Column
     """Language -> ranked n-gram keys.  ``pick`` orders rows at random for the choice of training rows."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     sizes = rows.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
-    sizes = sizes.orderBy(F.desc("_n"), "_l").limit(1_000)  # languages of a model
     chance = F.pmod(pick if pick is not None else F.xxhash64(text), F.lit(1_000_000)) / F.lit(1e6)
-    chosen = rows.join(F.broadcast(sizes), F.col(label) == F.col("_l")).where(chance * F.col("_n") < per_language)
+    chosen = rows.join(sizes, F.col(label) == F.col("_l")).where(chance * F.col("_n") < per_language)
 
     def count(c):
         for lang, t in zip(c["l"], c["t"]):

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.QUERIES) < names and "pipeline" in names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(queries.QUERIES) < names and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
