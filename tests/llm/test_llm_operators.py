@@ -279,40 +279,28 @@ def test_mixed_documents_repeat_as_taken(spark, docs):
 # ---------------------------------------------------------------- 6
 
 
-def lines_by_hand(spark, rows, similarity=0.8):
-    norms, occ = {}, []
+def normal_lines(rows):
     for i, x in rows:
         for p, line in enumerate((x or "").split("\n")):
             if line.strip(" \t\n\x0b\x0c\r"):
-                n = re.sub(r"[ \t-\r]+", " ", line.lower()).strip(" ")
-                norms.setdefault(n, len(norms))
-                occ.append((i, p, n))
-    ws = sorted({w for n in norms for w in n.split(" ")})
-    h = {r[0]: r[1] & (2 ** 64 - 1) for r in spark.createDataFrame([(w,) for w in ws], "w string").select("w", F.xxhash64("w")).collect()}
-    bits = {w: np.array([(v >> b) & 1 for b in range(64)]) for w, v in h.items()}
-    keys = list(norms)
-    sims = []
-    for n in keys:
-        own = sorted(set(n.split(" ")))
-        c = sum(bits[w] for w in own)
-        sims.append(sum(1 << b for b in range(64) if 2 * c[b] > len(own)))
-    sims, up = np.array(sims, np.uint64), list(range(len(keys)))
+                yield i, p, re.sub(r"[ \t-\r]+", " ", line.lower()).strip(" ")
+
+
+def lines_by_hand(rows, links):
+    """Texts without later lines of the groups that ``links`` between normal lines make."""
+    occ = list(normal_lines(rows))
+    up = {n: n for _, _, n in occ}
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for i in range(len(keys)):
-        for j in np.flatnonzero(np.bitwise_count(sims[:i] ^ sims[i]) <= 3).tolist():
-            a, b = keys[i], keys[j]
-            most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
-            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
-                x, y = top(i), top(j)
-                up[max(x, y)] = min(x, y)
+    for a, b in links:
+        up[top(a)] = top(b)
     seen, gone = set(), defaultdict(set)
     for i, p, n in occ:
-        g = top(norms[n])
+        g = top(n)
         if g in seen:
             gone[i].add(p)
         seen.add(g)
@@ -328,13 +316,61 @@ def distance(a, b):
     return int(prev[-1])
 
 
-def test_fuzzy_lines_as_by_hand(spark, docs, texts):
+def near_enough(a, b, similarity=0.8):
+    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+
+def test_links_are_similar_and_decide_the_result(spark, docs, texts):
     rows = [(i, texts[i]["text"]) for i in sorted(texts)]
-    rows = [(i, x) for i, x in rows if not x or max(map(len, x.split("\n"))) < 3000]
     base = "the quick brown fox jumps over the lazy dog near the old stone bridge and runs home again before it is dark"
     rows += [(10_000 + i, base.replace("stone", f"st{i}ne") + f"\nown line number {i} " + "x" * i) for i in range(12)]
-    got = {r["doc_id"]: r["text"] for r in fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == lines_by_hand(spark, rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = fuzzy_lines._lines(d, "doc_id", "text").cache()
+    name = {r["h"]: r["norm"] for r in lines.select(*fuzzy_lines._hashes(), "norm").collect()}
+    links = [(name[r["a"]], name[r["b"]]) for r in fuzzy_lines.line_links(d, fuzzy_lines.simhashed(lines), "doc_id", "text").collect()]
+    assert all(near_enough(a, b) for a, b in links)
+    got = {r["doc_id"]: r["text"] for r in fuzzy_lines.dedup_lines(d).collect()}
+    assert got == lines_by_hand(rows, links)
+    assert sum(got[10_000 + i].startswith("the quick") for i in range(12)) == 1
+
+
+#: (words, of them changed): at most a fifth.
+CHANGED = [(12, 1), (12, 2), (27, 1), (27, 3), (27, 5), (60, 3), (60, 12), (98, 5), (98, 19), (200, 10), (200, 40)]
+
+
+def test_recall_against_edit_similarity_alone(spark, texts):
+    """Pairs of random words with some changed, judged by edit similarity and nothing else."""
+    rng = np.random.default_rng(4)
+    words = [w for r in texts.values() for w in (r["text"] or "").lower().split()]
+    pairs = []
+    for n, c in CHANGED:
+        found = 0
+        while found < 30:
+            one = [words[i] for i in rng.integers(0, len(words), n)]
+            other = list(one)
+            for at in rng.choice(n, c, replace=False):
+                other[at] = words[rng.integers(0, len(words))]
+            a, b = " ".join(one), " ".join(other)
+            if a != b and near_enough(a, b):
+                pairs.append((n, c, a, b))
+                found += 1
+    d = spark.createDataFrame([(2 * k + j, x) for k, (_, _, *ab) in enumerate(pairs) for j, x in enumerate(ab)], "doc_id long, text string")
+    gone = {r["doc_id"] for r in fuzzy_lines.dedup_lines(d).where("n_removed > 0").collect()}
+    met, all_ = Counter(), Counter((n, c) for n, c, _, _ in pairs)
+    for k, (n, c, _, _) in enumerate(pairs):
+        met[n, c] += 2 * k in gone or 2 * k + 1 in gone
+    assert sum(met.values()) >= 0.93 * len(pairs)
+    assert all(met[x] >= 0.8 * all_[x] for x in all_), met
+
+
+def test_groups_of_copies_cost_no_pairs(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, base.replace(f"word{i % 60} ", f"other{i} ")) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in fuzzy_lines.dedup_lines(d).where("n_removed = 0").collect()] == [0]
+    lines = fuzzy_lines.simhashed(fuzzy_lines._lines(d, "doc_id", "text"))
+    assert fuzzy_lines.line_links(d, lines, "doc_id", "text").count() < 400 * 16
 
 
 def test_repeated_rows_and_blank_lines(spark):
@@ -344,22 +380,14 @@ def test_repeated_rows_and_blank_lines(spark):
         (1, "", 2, 2), (1, "same line here\n\nother", 2, 0), (2, "", 1, 1)]
 
 
-def test_giant_lines_and_the_bits_of_simhash(spark, monkeypatch):
-    lines = [" ".join(f"w{i * j}" for j in range(1, n)) for i, n in enumerate([2, 3, 7, 8, 9, 15, 40, 300], 1)]
-    d = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
-    few = {r["pos"]: r["sim"] for r in fuzzy_lines.simhashed(fuzzy_lines._lines(d, "doc_id", "text")).collect()}
-    monkeypatch.setattr(fuzzy_lines, "GIANT", 1)
-    assert {r["pos"]: r["sim"] for r in fuzzy_lines.simhashed(fuzzy_lines._lines(d, "doc_id", "text")).collect()} == few
-
-
-def test_pigeonhole_finds_all_near_values(spark):
-    rng = np.random.default_rng(9)
-    v = rng.integers(-2 ** 63, 2 ** 63, 300)
-    v = np.unique(np.concatenate([v] + [v ^ (np.int64(1) << np.int64(int(rng.integers(0, 63)))) ^ (np.int64(1) << np.int64(int(rng.integers(0, 63)))) for _ in range(3)]))
-    u = v.view(np.uint64)
-    want = {(int(min(v[i], v[j])), int(max(v[i], v[j]))) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(u[:i] ^ u[i]) <= 3)}
-    got = {(r["a"], r["b"]) for r in fuzzy_lines.near_simhashes(spark.createDataFrame([(int(x),) for x in v], "sim long")).collect()}
-    assert got == want
+def test_blocks_are_votes_of_neighbours(spark):
+    line = " ".join(f"feature{i}" for i in range(30))
+    h = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in line.split()], "w string").select("w", F.xxhash64("w")).collect()}
+    hs = sorted(h.values())
+    votes = [(a & b) | (a & c) | (b & c) for a, b, c in zip(hs, hs[1:], hs[2:])]
+    mixed = sorted(r[0] for r in spark.createDataFrame([(v,) for v in votes], "v long").select(F.xxhash64("v")).collect())
+    got = spark.createDataFrame([(line,)], "l string").select(fuzzy_lines.blocks(F.col("l")).alias("b")).first()["b"]
+    assert got == mixed[:fuzzy_lines.BLOCKS]
 
 
 def test_components_of_a_chain_and_a_star(spark):
