@@ -174,6 +174,40 @@ def keyword_match_equijoin(spark, sf):
     return rule_join.first_labels(rule_join.match_by_join(fx.doc_posts(spark, sf), rule_frame(spark, sf)))
 
 
+PATTERN_TABLE = """documents_ AS (SELECT CAST(doc_id AS VARCHAR) AS id, lower(text) AS t, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS label_pos,
+ regexp_extract(lower(text), '[a-z]{4,}') AS w, doc_id FROM documents),
+pattern_table AS (SELECT DISTINCT label_pos, CAST(label_pos AS VARCHAR) AS label, CASE doc_id % 4 WHEN 0 THEN concat('(^|[^a-z])', w, '[a-z]{1,3}[.,]')
+ WHEN 1 THEN concat(left(w, 2), '[a-z]', substr(w, 4), ' [a-z]+e ') WHEN 2 THEN concat('^', w) ELSE concat(w, '[.]?\\n') END AS keyword FROM documents_ WHERE w <> '')"""
+
+
+def pattern_frame(spark, sf):
+    """Regular expressions made of the first longer word of each document."""
+    t, w = F.lower("content"), F.regexp_extract(F.lower("content"), "[a-z]{4,}", 0)
+    n = F.col("id").cast("long") % 4
+    p = (F.when(n == 0, F.concat(F.lit("(^|[^a-z])"), w, F.lit("[a-z]{1,3}[.,]")))
+         .when(n == 1, F.concat(F.left(w, F.lit(2)), F.lit("[a-z]"), F.substring(w, 4, 1 << 20), F.lit(" [a-z]+e ")))
+         .when(n == 2, F.concat(F.lit("^"), w)).otherwise(F.concat(w, F.lit("[.]?\\n"))))
+    pos = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2)
+    return (fx.doc_posts(spark, sf).where(t.isNotNull() & (w != ""))
+            .select(pos.alias("label_pos"), pos.cast("string").alias("label"), p.alias("keyword")).distinct())
+
+
+PATTERN_COUNTS = f"""WITH {PATTERN_TABLE} SELECT d.id, p.label_pos, p.label, CAST(count(*) AS INTEGER) AS n
+ FROM documents_ d JOIN pattern_table p ON regexp_matches(d.t, p.keyword) GROUP BY ALL"""
+
+
+@query("regex_match_join", PATTERN_COUNTS)
+def regex_match_join(spark, sf):
+    """Regular expressions that are a table, each tried only where the literal it needs is."""
+    return rule_join.match_patterns(fx.doc_posts(spark, sf), pattern_frame(spark, sf))
+
+
+@query("regex_match_equijoin", PATTERN_COUNTS)
+def regex_match_equijoin(spark, sf):
+    """The same by joins alone, for tables of any size."""
+    return rule_join.match_patterns_by_join(fx.doc_posts(spark, sf), pattern_frame(spark, sf))
+
+
 # --- whole jobs ----------------------------------------------------------------------------
 
 @query("label_task", f"""WITH {fx.named_rows()}, {fx.vote('voted', 'named', 'source, slice')}

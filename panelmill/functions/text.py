@@ -42,6 +42,12 @@ def java_pattern(pattern: str) -> str:
     return "(?Ud)" + p
 
 
+def java_pattern_of(c) -> Column:
+    """The same for patterns that are a column."""
+    named = F.regexp_replace(c, r"\(\?P<", "(?<")
+    return F.concat(F.lit("(?Ud)"), F.regexp_replace(named, r"\(\?P=(\w+)\)", r"\\k<$1>"))
+
+
 def count_substring(text: Column, term: Column) -> Column:
     """Non-overlapping occurrences of ``term`` in ``text``."""
     rest = F.replace(text, term, F.lit(""))

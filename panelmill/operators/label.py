@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.constants import LABEL_NAMES, MATCH_TYPES
-from panelmill.functions.anchors import words_in
+from panelmill.functions.anchors import constant, edges_of, words_in
+from panelmill.functions.patterns import factor
 from panelmill.functions.text import java_pattern, let, target_name, target_text
 from panelmill.operators import term_weight
 
@@ -20,6 +21,10 @@ from panelmill.operators import term_weight
 ONE_PASS = {"content": 100, "title": 200, "author": 200, "s_area_id": 200}
 
 
+#: Rules at the edges of a text, and regular expressions, from which they are looked up and not tried one by one.
+MANY_EDGES, MANY_PATTERNS = 50, 50
+
+
 def one_pass_pays(n_words: int, target: str) -> bool:
     return n_words > ONE_PASS[target_name(target)]
 
@@ -39,20 +44,24 @@ def _count(text: Column, words: list[str], test) -> Column:
     return F.size(F.filter(F.lit(words), lambda k: test(text, k)))
 
 
-def keyword_score(text: Column, kws: Mapping[str, Sequence[str]], inside: Column | None = None) -> Column:
+def keyword_score(text: Column, kws: Mapping[str, Sequence[str]], inside: Column | None = None,
+                  edges: Column | None = None) -> Column:
     """One point if any "partially" keyword is found, however many are, and one point for each other
-    rule that holds.  ``inside`` says whether one is found, if that is known already."""
+    rule that holds.  ``inside`` says whether one is found, and ``edges`` how many others hold, if that is known already."""
     parts = []
     if inside is not None:
         parts.append(inside.cast("int"))
     elif kws["partially"]:
         parts.append(F.exists(F.lit(kws["partially"]), lambda k: F.contains(text, k)).cast("int"))
-    if kws["absolutely"]:
-        parts.append(_count(text, kws["absolutely"], lambda t, k: t == k))
-    if kws["start"]:
-        parts.append(_count(text, kws["start"], F.startswith))
-    if kws["end"]:
-        parts.append(_count(text, kws["end"], F.endswith))
+    if edges is not None:
+        parts.append(edges)
+    else:
+        if kws["absolutely"]:
+            parts.append(_count(text, kws["absolutely"], lambda t, k: t == k))
+        if kws["start"]:
+            parts.append(_count(text, kws["start"], F.startswith))
+        if kws["end"]:
+            parts.append(_count(text, kws["end"], F.endswith))
     total = F.lit(0)
     for p in parts:
         total = total + p
@@ -115,13 +124,43 @@ def match_counts(model: str, rules: Mapping, target: str = "content",
         return F.filter(scored, lambda s: s["n"] > 0)
 
     if model == "rule_model":
-        return let(target_text(target, False), lambda t: listed([regex_score(t, ps) for ps in rules.values()]))
+        t = target_text(target, False)
+        if sum(map(len, rules.values())) <= MANY_PATTERNS if one_pass is None else not one_pass:
+            return let(t, lambda t: listed([regex_score(t, ps) for ps in rules.values()]))
+
+        def number(found: Column, no: int) -> Column:
+            return F.size(F.filter(found, lambda e: e["no"] == no))
+
+        return let(t, lambda t: let(patterns_found(t, rules), lambda found: listed([number(found, no) for no in range(len(rules))])))
     text = target_text(target, case_sensitive)
     kws = [keywords_by_type(rs, case_sensitive) for rs in rules.values()]
-    if not _many(kws, target, one_pass):
-        return let(text, lambda t: listed([keyword_score(t, k) for k in kws]))
-    return let(text, lambda t: let(_inside(t, kws), lambda found: listed(
-        [keyword_score(t, k, F.array_contains(found, no)) for no, k in enumerate(kws)])))
+    edge_rules = [(k, w, no) for no, by in enumerate(kws) for k in ("absolutely", "start", "end") for w in by[k]]
+    one_pass = _many(kws, target, one_pass)
+    lookup = len(edge_rules) > MANY_EDGES
+
+    def scores(t: Column, found: Column | None, held: Column | None) -> Column:
+        def inside(no):
+            return None if found is None else F.array_contains(found, no)
+
+        def edges(no):
+            return None if held is None else F.aggregate(F.filter(held, lambda e: e["no"] == no), F.lit(0), lambda n, e: n + e["n"])
+
+        return listed([keyword_score(t, k, inside(no), edges(no)) for no, k in enumerate(kws)])
+
+    def with_edges(t: Column, found: Column | None) -> Column:
+        return let(edges_of(t, edge_rules), lambda held: scores(t, found, held)) if lookup else scores(t, found, None)
+
+    return let(text, lambda t: let(_inside(t, kws), lambda found: with_edges(t, found)) if one_pass else with_edges(t, None))
+
+
+def patterns_found(text: Column, rules: Mapping[str, Sequence[str]]) -> Column:
+    """The patterns found in ``text``, as (no, pattern).  A pattern with a literal that each of its matches holds is
+    only tried where that literal is; the others are tried on every text."""
+    given = [(factor(p), no, java_pattern(p)) for no, ps in enumerate(rules.values()) for p in ps]
+    named = words_in(text, [(f, i, 0.0) for i, (f, _, _) in enumerate(given)])
+    of = constant([{"no": no, "pattern": p} for _, no, p in given], "array<struct<no:int,pattern:string>>")
+    tried = F.transform(named, lambda e: F.get(of, e["no"]))
+    return F.filter(tried, lambda e: F.rlike(text, e["pattern"]))
 
 
 def multi_label(model: str, rules: Mapping, target: str = "content", case_sensitive: bool = False) -> Column:

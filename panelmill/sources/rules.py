@@ -9,7 +9,7 @@ from panelmill import constants, schemas
 from panelmill.session import fixed_table
 
 # Above this many rules they stay a table (see operators.rule_join) instead of literals of the plan.
-MAX_INLINE_RULES = 5_000
+MAX_INLINE_RULES = 100_000
 
 
 def read_keyword_file(spark: SparkSession, path: str, label: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelmill import schemas
 from panelmill.functions import text
+from panelmill.functions.patterns import factor
 from panelmill.operators import label as lab
 from panelmill.operators import rule_join, term_weight
 from panelmill.sources import rules as rule_sources
@@ -183,3 +185,57 @@ def test_tokens(spark):
     df = spark.createDataFrame([("Hello wörld a b2 x", ), ("我愛你 ok", ), ("", )], "t string")
     got = [r[0] for r in df.select(text.word_tokens(F.col("t"))).collect()]
     assert got == [["hello", "wörld", "b2"], ["我愛", "愛你", "我愛你", "ok"], []]
+
+
+# --- many rules -----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("n", [1, 49, 50, 51, 4_999, 5_001, 50_000])
+def test_any_number_of_rules_gives_the_same_rows(spark, n):
+    rnd = random.Random(n)
+    word = lambda lo, hi: "".join(rnd.choice("abc女é") for _ in range(rnd.randint(lo, hi)))
+    texts = [(str(i), word(0, 30)) for i in range(40)]
+    rules = {f"l{j}": [] for j in range(3)}
+    for _ in range(n):
+        rules[f"l{rnd.randrange(3)}"].append((word(0 if rnd.random() < 0.01 else 3, 12), rnd.choice(["partially", "absolutely", "start", "end"])))
+    for i in range(0, 40, 7):
+        rules["l1"].append((texts[i][1], "absolutely"))
+    df = posts(spark, *[(i, "a", t) for i, t in texts])
+    want = brute(texts, rules)
+    got = df.select("id", F.explode(lab.match_counts("keyword_model", rules)).alias("m")).collect()
+    assert {(r["id"], r["m"]["label"], r["m"]["n"]) for r in got} == {(a, c, d) for a, _, c, d in want}
+    if n in (5_001, 50_000):
+        rows = lambda d: {(r["id"], r["label_pos"], r["label"], r["n"]) for r in d.collect()}
+        frame = rule_sources.keyword_rule_frame(spark, rules)
+        assert rows(rule_join.match_rules(df, frame)) == want == rows(rule_join.match_by_join(df, frame))
+
+
+PATTERNS = ["ab", "a.b", "^ab", "ba$", "(ab|ba)c", "a(bc)?a", "(?i)AB", "[ab]{3}", "a{2,}b", "(?:ca)+b", "(a)\\1c", "c(?=ab)", "女+é", "a|b", "(ab){2}c", "x*", ""]
+
+
+def test_literals_that_a_pattern_needs():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abc女é") for _ in range(rnd.randint(0, 9))) for _ in range(3000)]
+    for p in PATTERNS:
+        need = factor(p)
+        assert all(need in t for t in texts if re.search(p, t)), p
+    assert [factor(p) for p in ("ab", "(?:ca)+b", "a(bc)?ade", "a|b", "(?i)ab", "[0-9]{3}", "tion[a-z]{0,3} the")] == ["ab", "ca", "ade", "", "", "", "tion"]
+
+
+@pytest.mark.parametrize("n", [3, 60, 20_000])
+def test_many_patterns_as_one_by_one(spark, n):
+    rnd = random.Random(n)
+    alphabet = "abcdefgh"
+    word = lambda k: "".join(rnd.choice(alphabet) for _ in range(k))
+    rules = {"x": PATTERNS[:n] + [f"{word(5)}[a-z]?{word(2)}" for _ in range(n // 2)], "y": [f"^{word(2)}.*{word(3)}" for _ in range(n // 2)] + ["ab"]}
+    texts = [(str(i), word(rnd.randint(0, 60)).title()) for i in range(12 if n > 60 else 60)]
+    df = posts(spark, *[(i, "a", t) for i, t in texts])
+    want = {(i, label, c) for i, t in texts for label, ps in rules.items() if (c := sum(bool(re.search(p, t.lower())) for p in ps))}
+    for one_pass in ((True, False) if n < 100 else (None,)):
+        got = df.select("id", F.explode(lab.match_counts("rule_model", rules, one_pass=one_pass)).alias("m")).collect()
+        assert {(r["id"], r["m"]["label"], r["m"]["n"]) for r in got} == want
+    frame = spark.createDataFrame([(i, label, p) for i, (label, ps) in enumerate(rules.items()) for p in ps], "label_pos int, label string, keyword string")
+    rows = rule_join.match_patterns(df, frame).collect()
+    assert {(r["id"], r["label"], r["n"]) for r in rows} == want and all(r["label_pos"] == "xy".index(r["label"]) for r in rows)
+    if n < 100:
+        rows = rule_join.match_patterns_by_join(df, frame).collect()
+        assert {(r["id"], r["label"], r["n"]) for r in rows} == want
