@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelmill.constants import CONFLICT_GROUPS, LABEL_NAMES, PRODUCTION_GROUPS
 from panelmill.functions.slices import slice_index
 from panelmill.operators.clean import slice_votes, task_votes
-from panelmill.plans.tasks import labelled_posts, named, panels_of
+from panelmill.plans.tasks import labelled_posts, named
 from panelmill.schemas import SOURCE_MAP as SOURCE_MAP_SCHEMA
 from panelmill.session import fixed_table, work_dir
 from panelmill.sources.rules import production_groups
@@ -279,11 +279,11 @@ def named_df(spark: SparkSession, sf: str, rules: dict = GENDER_RULES, target: s
 
 
 def results_df(spark: SparkSession, sf: str, rules: dict = GENDER_RULES) -> DataFrame:
-    return slice_votes(named_df(spark, sf, rules), keys=["task_id", "source"], labels=panels_of(spec(rules)))
+    return slice_votes(named_df(spark, sf, rules), keys=["task_id", "source"])
 
 
 def production_df(spark: SparkSession, sf: str, rules: dict = GENDER_RULES) -> DataFrame:
-    return task_votes(results_df(spark, sf, rules), ["task_id", "source"], labels=panels_of(spec(rules)))
+    return task_votes(results_df(spark, sf, rules), ["task_id", "source"])
 
 
 def stored_production(spark: SparkSession, sf: str, rules: dict = GENDER_RULES) -> DataFrame:

@@ -14,7 +14,6 @@ from panelmill.sources import tables
 
 RES = "id, task_id, source_author, panel, create_time, field_content, match_content, source"
 KEYS = ["task_id", "source"]
-PANELS = tasks.panels_of(fx.spec())
 TRIMMED = f"{fx.named_rows()}, t AS (SELECT * REPLACE ({fx.TRIM} AS source_author) FROM named)"
 COUNTS = f"{TRIMMED}, c AS (SELECT source, source_author, panel, count(*) AS n FROM t GROUP BY ALL)"
 
@@ -75,7 +74,7 @@ def run_cleaning(spark, sf):
 @query("run_cleaning_first_dropped", f"""WITH {fx.named_rows()},
  {fx.vote('cleaned', 'named', 'task_id, source', 'first_dropped')} SELECT {RES} FROM cleaned""")
 def run_cleaning_first_dropped(spark, sf):
-    return clean.run_cleaning(fx.named_df(spark, sf).drop("slice"), KEYS, "first_dropped", PANELS)
+    return clean.run_cleaning(fx.named_df(spark, sf).drop("slice"), KEYS, "first_dropped")
 
 
 @query("two_stage_vote", f"WITH {fx.production()} SELECT {RES} FROM production")
@@ -262,18 +261,16 @@ def task_count(spark, sf):
     return audit.task_count(state(spark, sf))
 
 
-@query("audit_append", """SELECT 'FAILURE' AS stat, 1 AS n, 1 AS n_tasks, count(*) AS received FROM events UNION ALL
- SELECT 'PENDING', 2, 2, 0 FROM (SELECT 1) UNION ALL SELECT 'SUCCESS', 1, 1, count(*) FROM events""")
+@query("audit_append", f"""WITH {fx.AUDIT} SELECT stat, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT task_id) AS BIGINT) AS n_tasks,
+ CAST(max(seq) AS BIGINT) AS last_seq, CAST(sum(length_receive_table) AS BIGINT) AS received FROM audit GROUP BY stat""")
 def audit_append(spark, sf):
-    """The log of two tasks, row by row as a job appends them."""
-    output, n = work_dir(spark, "audit"), fx.table(spark, sf, "events").count()
-    for i, (task, stat) in enumerate([("a", "PENDING"), ("b", "PENDING"), ("a", "SUCCESS"), ("b", "FAILURE")]):
-        spec = replace(fx.spec(), task_id=task)
-        tasks.append_audit(tasks.audit_row(spark, spec, i, stat, length_receive_table=0 if stat == "PENDING" else n,
-                                           error_message="line one\nline two" * 1000 if stat == "FAILURE" else None), output)
-    log = tasks.read_audit(spark, output)
-    return log.groupBy("stat").agg(F.count("*").cast("int").alias("n"), F.count_distinct("task_id").cast("int").alias("n_tasks"),
-                                   F.max("length_receive_table").cast("bigint").alias("received"))
+    """The log of all tasks, in two appends as jobs make them, read back."""
+    output, log = work_dir(spark, "audit"), tasks.audit_frame(fx.audit_df(spark, sf))
+    for turn in (0, 1):
+        tasks.append_audit(log.where(F.col("seq") % 2 == turn), output)
+    return tasks.read_audit(spark, output).groupBy("stat").agg(
+        F.count("*").alias("n"), F.count_distinct("task_id").alias("n_tasks"), F.max("seq").alias("last_seq"),
+        F.sum("length_receive_table").alias("received"))
 
 
 @query("unfinished_tasks", f"""WITH {fx.LATEST_STATE} SELECT task_id, prod_stat FROM state

@@ -8,7 +8,6 @@ from panelmill.catalog.base import query
 from panelmill.functions import slices
 from panelmill.operators import forest
 from panelmill.operators.clean import task_votes
-from panelmill.plans.tasks import panels_of
 from panelmill.session import work_dir
 from panelmill.sources import posts, rules, tables
 
@@ -161,14 +160,13 @@ def result_sink(spark, sf):
     return tables.read_results(spark, path)
 
 
-PANELS = panels_of(fx.spec())
 
 
 @query("production_sink", f"WITH {fx.production()} SELECT {RES} FROM production WHERE task_id = 'task_1'")
 def production_sink(spark, sf):
     rows = tables.task_rows(written_results(spark, sf), "task_1")
     path = work_dir(spark, "production")
-    tables.write_production(task_votes(rows, ["task_id", "source"], labels=PANELS), path)
+    tables.write_production(task_votes(rows, ["task_id", "source"]), path)
     return tables.read_results(spark, path)
 
 

@@ -16,7 +16,6 @@ from panelmill.functions.slices import slice_index
 from panelmill.functions.text import trim_author
 
 AUTHOR = "source_author"
-MAX_PIVOT_LABELS = 32       # more panels than this are voted on as rows
 
 
 def trimmed(df: DataFrame) -> DataFrame:
@@ -72,37 +71,19 @@ def _row(columns: Sequence[str]) -> Column:
     return F.struct("create_time", "id", *[c for c in columns if c not in ("create_time", "id")])
 
 
-def run_cleaning(df: DataFrame, keys: Sequence[str] = (), tie: str = "drop",
-                 labels: Sequence[str] | None = None) -> DataFrame:
-    """Trim authors, vote, and keep the winning panel's latest row.
+def run_cleaning(df: DataFrame, keys: Sequence[str] = (), tie: str = "drop") -> DataFrame:
+    """Trim authors, vote, and keep the winning panel's latest row.  ``keys`` separate independent votes.
 
-    ``keys`` separate independent votes.  With the possible panels given as ``labels`` the whole
-    cleaning is one aggregation and one shuffle; without, it counts per panel first.
-    """
+    Rows are counted per author and panel, then panels are compared, whatever their names and number are; both aggregations
+    are combined before their shuffle, and the second only sees one row per author and panel."""
     _check_tie(tie)
     df = trimmed(df)
     rest = [c for c in df.columns if c not in (*keys, AUTHOR, "panel")]
-    if labels is not None and len(labels) <= MAX_PIVOT_LABELS:
-        return _clean_by_label(df, list(keys), tie, sorted(labels), rest).select(*df.columns)
     per_panel = df.groupBy(*keys, AUTHOR, "panel").agg(F.count("*").alias("n"), F.max(_row(rest)).alias("_row"))
     return (majority_vote(per_panel, keys, tie, carry=["_row"])
             .select(*keys, AUTHOR, "panel", "_row.*").select(*df.columns))
 
 
-def _clean_by_label(df: DataFrame, keys: list[str], tie: str, labels: list[str], rest: list[str]) -> DataFrame:
-    aggs = []
-    for i, p in enumerate(labels):
-        is_p = F.col("panel") == p
-        aggs += [F.count_if(is_p).alias(f"_n{i}"), F.max(F.when(is_p, _row(rest))).alias(f"_r{i}")]
-    wide = df.groupBy(*keys, AUTHOR).agg(*aggs)
-    winner = label_winner([F.col(f"_n{i}") for i in range(len(labels))], tie)
-    row = F.array(*[F.col(f"_r{i}") for i in range(len(labels))])
-    return (wide.withColumn("_w", winner).where("_w IS NOT NULL")
-                .select(*keys, AUTHOR, F.get(F.lit(labels), F.col("_w")).alias("panel"),
-                        F.get(row, F.col("_w")).alias("_row"))
-                .select(*keys, AUTHOR, "panel", "_row.*"))
-
-
 def label_winner(counts: Sequence[Column], tie: str = "drop") -> Column:
     """Index of the greatest count in columns ordered by panel name; null if all are zero, or if
     ``tie='drop'`` and the greatest count is shared."""
@@ -118,24 +99,22 @@ def label_winner(counts: Sequence[Column], tie: str = "drop") -> Column:
 
 
 def slice_votes(results: DataFrame, start: datetime | None = None, keys: Sequence[str] = ("source",),
-                hours: int = SLICE_HOURS, tie: str = "drop", labels: Sequence[str] | None = None) -> DataFrame:
+                hours: int = SLICE_HOURS, tie: str = "drop") -> DataFrame:
     """First stage: cleaning per time slice.  ``results`` has ``slice``, or gets it from ``start``."""
     if "slice" not in results.columns:
         results = results.withColumn("slice", slice_index("create_time", start, hours))
-    return run_cleaning(results, [*keys, "slice"], tie, labels)
+    return run_cleaning(results, [*keys, "slice"], tie)
 
 
-def task_votes(sliced: DataFrame, keys: Sequence[str] = ("source",), tie: str = "drop",
-               labels: Sequence[str] | None = None) -> DataFrame:
+def task_votes(sliced: DataFrame, keys: Sequence[str] = ("source",), tie: str = "drop") -> DataFrame:
     """Second stage: cleaning over the task, where each slice an author's panel won counts once."""
     cols = [*keys, *[c for c in schemas.RESULT_COLUMNS if c not in keys]]
-    return run_cleaning(sliced.select(*cols), keys, tie, labels)
+    return run_cleaning(sliced.select(*cols), keys, tie)
 
 
 def two_stage_vote(results: DataFrame, start: datetime | None = None, keys: Sequence[str] = ("source",),
-                   hours: int = SLICE_HOURS, tie: str = "drop",
-                   labels: Sequence[str] | None = None) -> DataFrame:
-    return task_votes(slice_votes(results, start, keys, hours, tie, labels), keys, tie, labels)
+                   hours: int = SLICE_HOURS, tie: str = "drop") -> DataFrame:
+    return task_votes(slice_votes(results, start, keys, hours, tie), keys, tie)
 
 
 def dedup_author_panel(df: DataFrame, order: Sequence[Column] | None = None, keys: Sequence[str] = ()) -> DataFrame:

@@ -74,12 +74,12 @@ def named(matched: DataFrame) -> DataFrame:
 
 def slice_results(matched: DataFrame, spec: JobSpec, rules=None) -> DataFrame:
     """Rows of the result table out of the matched posts: one per slice, author and winning panel."""
-    out = slice_votes(named(matched), keys=["source"], tie=spec.tie, labels=panels_of(spec, rules))
+    out = slice_votes(named(matched), keys=["source"], tie=spec.tie)
     return out.select(*schemas.RESULT_COLUMNS, "source")
 
 
 def production_rows(results: DataFrame, spec: JobSpec, rules=None) -> DataFrame:
-    return task_votes(results, ["source"], spec.tie, panels_of(spec, rules))
+    return task_votes(results, ["source"], spec.tie)
 
 
 def final_panel(column: str = "panel"):
@@ -106,8 +106,14 @@ def audit_row(spark: SparkSession, spec: JobSpec, seq: int, stat: str, **values)
     return spark.createDataFrame([tuple(base[c] for c in schemas.AUDIT.names)], schemas.AUDIT)
 
 
-def append_audit(row: DataFrame, output: str) -> None:
-    row.write.mode("append").parquet(f"{output}/audit")
+def audit_frame(states: DataFrame) -> DataFrame:
+    """Task states that are a table, such as another log, as rows of the audit log; what they do not have is null."""
+    have = set(states.columns)
+    return states.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.AUDIT])
+
+
+def append_audit(rows: DataFrame, output: str) -> None:
+    rows.write.mode("append").parquet(f"{output}/audit")
 
 
 def batches(spec: JobSpec) -> list[JobSpec]:

@@ -30,31 +30,28 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("labels", [None, LABELS])
 @pytest.mark.parametrize("n, drop, first", CASES)
-def test_vote(spark, n, drop, first, labels):
+def test_vote(spark, n, drop, first):
     df = results(spark, repeat("a", **n))
     for tie, want in (("drop", drop), ("first_dropped", first)):
-        got = [r["panel"] for r in clean.run_cleaning(df, ["source"], tie, labels).collect()]
+        got = [r["panel"] for r in clean.run_cleaning(df, ["source"], tie).collect()]
         assert got == ([want] if want else [])
 
 
 def test_latest_row_and_blanks(spark):
     df = results(spark, [("x ", "/male", 1, "b"), ("x", "/male", 2, "c"), ("x\t", "/male", 2, "d"), ("　x", "/male", 0, "z")])
-    for labels in (None, LABELS):
-        row, = clean.run_cleaning(df, ["source"], labels=labels).collect()
-        assert (row["source_author"], row["id"]) == ("x", "d")
+    row, = clean.run_cleaning(df, ["source"]).collect()
+    assert (row["source_author"], row["id"]) == ("x", "d")
     row, = clean.latest_per_panel(clean.trimmed(df), ["source"]).collect()
     assert row["id"] == "d"
 
 
 def test_slices_beat_posts(spark):
     rows = [("a", "/male", 0.1 * i) for i in range(5)] + [("a", "/female", 7), ("a", "/female", 13)]
-    for labels in (None, LABELS):
-        got = clean.two_stage_vote(results(spark, rows), T0, labels=labels).collect()
-        assert [r["panel"] for r in got] == ["/female"]
-        plain = clean.run_cleaning(results(spark, rows), ["source"], labels=labels).collect()
-        assert [r["panel"] for r in plain] == ["/male"]
+    got = clean.two_stage_vote(results(spark, rows), T0).collect()
+    assert [r["panel"] for r in got] == ["/female"]
+    plain = clean.run_cleaning(results(spark, rows), ["source"]).collect()
+    assert [r["panel"] for r in plain] == ["/male"]
 
 
 def test_one_slice_is_the_plain_vote(spark):
@@ -82,20 +79,37 @@ def test_hot_author_against_brute_force(spark):
         top = [p for p, n in c.items() if n == max(c.values())]
         if len(top) == 1:
             want.add((a, top[0]))
-    for labels in (None, LABELS):
-        got = clean.two_stage_vote(results(spark, rows), T0, labels=labels).collect()
-        assert {(r["source_author"], r["panel"]) for r in got} == want
-        assert len(got) == len({r["source_author"] for r in got})
+    got = clean.two_stage_vote(results(spark, rows), T0).collect()
+    assert {(r["source_author"], r["panel"]) for r in got} == want
+    assert len(got) == len({r["source_author"] for r in got})
     slim = results(spark, rows).withColumn("slice", slices.slice_index("create_time", T0))
     panels = metrics.author_panels(slim, LABELS).where("panel is not null").collect()
     assert {(r["source_author"], r["panel"]) for r in panels} == want
 
 
-def test_cleaning_with_known_labels_shuffles_once(spark):
+def test_cleaning_counts_before_it_shuffles(spark):
     df = results(spark, repeat("a", male=1))
-    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
-    assert plan(clean.run_cleaning(df, ["source"], labels=LABELS)).count("Exchange") == 1
-    assert plan(clean.run_cleaning(df, ["source"])).count("Exchange") == 2
+    plan = clean.run_cleaning(df, ["source"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2
+
+
+@pytest.mark.parametrize("n", [1, 32, 33, 200])
+def test_any_number_of_panels_votes_alike(spark, n):
+    """Also panels that no rule names."""
+    import random
+    rnd = random.Random(n)
+    names = [f"/p{i}" for i in range(n)] + ["/unknown", "/x"]
+    rows = [(f"u{rnd.randint(0, 60)}", rnd.choice(names), rnd.uniform(0, 60)) for _ in range(1500)]
+    rows += [("one", "/x", 1), ("one", "/x", 2), ("one", "/p0", 3)]
+    per = Counter((a, p) for a, p, _ in rows)
+    want = set()
+    for a in {a for a, _ in per}:
+        c = {p: m for (b, p), m in per.items() if b == a}
+        top = [p for p, m in c.items() if m == max(c.values())]
+        if len(top) == 1:
+            want.add((a, top[0]))
+    got = {(r["source_author"], r["panel"]) for r in clean.run_cleaning(results(spark, rows), ["source"]).collect()}
+    assert got == want and ("one", "/x") in got
 
 
 # --- slices ---------------------------------------------------------------------------------
