@@ -142,10 +142,11 @@ near AS MATERIALIZED (
 best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near,
                 row_number() OVER (PARTITION BY word ORDER BY m DESC, encode(other)) AS r FROM near),
 formed AS MATERIALIZED (SELECT v.word, v.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.m >= 2 * v.n THEN b.other END AS form,
-                               CASE WHEN b.m >= 2 * v.n THEN b.m END::BIGINT AS form_n FROM v LEFT JOIN best b ON b.word = v.word AND b.r = 1),
+                               CASE WHEN b.m >= 2 * v.n THEN b.m END::DOUBLE AS form_n FROM v LEFT JOIN best b ON b.word = v.word AND b.r = 1),
 up AS (SELECT word, word AS root FROM formed UNION ALL SELECT u.word, f.form FROM up u JOIN formed f ON f.word = u.root WHERE f.form IS NOT NULL)
 SELECT f.word, f.form, u.root, f.n, f.n_near, f.form_n FROM formed f JOIN up u ON u.word = f.word JOIN formed t ON t.word = u.root WHERE t.form IS NULL""")
 def op11_pivotal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The SQL gives form_n as double, as pandas has longs with nulls.
     return pivotal_words.variants(pivotal_words.vocabulary(table(spark, sf_dir, "documents")))
 
 
