@@ -579,3 +579,20 @@ def test_recall_of_runs():
         y = np.unique(np.concatenate([both, rng.integers(0, 2 ** 63, 20, np.uint64)]))
         met += len(np.intersect1d(chosen_path.leaves(x, 8), chosen_path.leaves(y, 8))) > 0
     assert met >= 298
+
+
+def test_long_lines_of_few_common_words_are_not_compared(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(4, 9))) for _ in range(400)]
+    rows = []
+    for n in (40, 80, 200):
+        a = rng.sample(words, n)
+        for share in (0.05, 0.2):
+            b = list(a)
+            for i in rng.sample(range(n), int(n * share)):
+                b[i] = rng.choice(words)
+            rows.append((" ".join(a), " ".join(b), True))
+        rows.append((" ".join(a), " ".join(w[::-1] for w in a), False))
+    rows.append(("short line", "another line", True))
+    d = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert [r["got"] for r in d.select(fuzzy_lines.alike(F.col("a"), F.col("b")).alias("got")).collect()] == [r[2] for r in rows]
