@@ -1,13 +1,16 @@
 """Queries over cleaning, votes, metrics, task audit, merge and dump."""
 
 from dataclasses import replace
+from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.catalog import fixtures as fx
 from panelmill.catalog.base import query
 from panelmill.functions.text import last_token, sample_hash
-from panelmill.operators import audit, clean, metrics, panel, sample
+from panelmill.operators import audit, author_index, clean, metrics, panel, sample
 from panelmill.plans import dump, tasks
 from panelmill.session import work_dir
 from panelmill.sources import tables
@@ -187,6 +190,23 @@ def uniq_authors(spark, sf):
     return metrics.uniq_authors(fx.routed_df(spark, sf))
 
 
+RANGES = {"all": (fx.START, fx.END), "middle": (datetime(2024, 1, 9, 6), datetime(2024, 1, 17, 18)),
+          "one slice": (datetime(2024, 1, 15), datetime(2024, 1, 15, 6))}
+
+
+@query("uniq_authors_range", f"WITH {fx.routed()}, " + fx.values("ranges", "span, a, b", [(k, str(a), str(b)) for k, (a, b) in RANGES.items()])
+       + f""" SELECT span, source, count(DISTINCT {fx.TRIM}) AS uniq_authors FROM routed JOIN ranges
+ ON create_time >= CAST(a AS TIMESTAMP) AND create_time < CAST(b AS TIMESTAMP) GROUP BY 1, 2""")
+def uniq_authors_range(spark, sf):
+    """Three ranges from one stored index, to which the month was added in two parts that share some days."""
+    folder, rows = work_dir(spark, "authors"), fx.routed_df(spark, sf)
+    t = F.col("create_time")
+    author_index.add_posts(rows.where(t < F.lit("2024-01-16").cast("timestamp_ntz")), folder, ts="create_time")
+    author_index.add_posts(rows.where(t >= F.lit("2024-01-12").cast("timestamp_ntz")), folder, ts="create_time")
+    spans = [author_index.authors_between(spark, folder, *r).select(F.lit(k).alias("span"), "*") for k, r in RANGES.items()]
+    return reduce(DataFrame.unionByName, spans)
+
+
 @query("uniq_authors_compat", f"""WITH {fx.routed(fx.AUTHOR_RULES, 'author')}, live AS (SELECT DISTINCT source, slice FROM routed WHERE panel <> '')
  SELECT source, count(DISTINCT source_author) AS uniq_authors FROM routed JOIN live USING (source, slice) GROUP BY 1""")
 def uniq_authors_compat(spark, sf):
