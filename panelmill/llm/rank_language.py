@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.llm.common import by_value, map_rows
+from panelmill.session import materialize
 
 by_value(__name__)
 
-TOP, SIZES, PER_LANGUAGE, SLICE = 400, (1, 2, 3), 3_000, 1 << 20
+TOP, SIZES, PER_LANGUAGE, SLICE, LARGE = 400, (1, 2, 3), 3_000, 1 << 20, 10_000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Characters of which some are numerals or marks that the pattern above takes wrongly; letters and marks by category.
 UNUSUAL = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u02b0-\U0010ffff]")
@@ -65,17 +66,24 @@ def ranked(keys: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
 def train(docs: DataFrame, label: str = "lang", text: str = "text", pick: Column | None = None,
           per_language: int = PER_LANGUAGE, top: int = TOP) -> dict[str, list[int]]:
     """Language -> ranked n-gram keys.  ``pick`` orders rows at random for the choice of training rows."""
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = rows.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
     chance = F.pmod(pick if pick is not None else F.xxhash64(text), F.lit(1_000_000)) / F.lit(1e6)
-    chosen = rows.join(sizes, F.col(label) == F.col("_l")).where(chance * F.col("_n") < per_language)
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("l"), F.col(text).alias("t"), chance.alias("c"))
+    sizes = materialize(rows.groupBy("l").agg(F.count("*").alias("n")), "languages")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # Languages of more than one row in LARGE are fewer than LARGE and go to all tasks; only texts of others are shuffled.
+    large, small = (sizes.where(x).withColumnRenamed("l", "_l") for x in (F.col("n") * LARGE > total, F.col("n") * LARGE <= total))
+    marked = rows.join(F.broadcast(large), F.col("l") == F.col("_l"), "left")
+    chosen = marked.where(F.col("c") * F.col("n") < per_language).select("l", "t")
+    if not small.isEmpty():
+        others = marked.where("_l IS NULL").select("l", "t", "c").join(small, F.col("l") == F.col("_l"))
+        chosen = chosen.union(others.where(F.col("c") * F.col("n") < per_language).select("l", "t"))
 
     def count(c):
         for lang, t in zip(c["l"], c["t"]):
             for k, n in zip(*(x.tolist() for x in grams(t))):
                 yield lang, k, n
 
-    counted = map_rows(chosen.select(F.col(label).alias("l"), F.col(text).alias("t")), count, "l string, g bigint, n bigint", 50_000)
+    counted = map_rows(chosen, count, "l string, g bigint, n bigint", 50_000)
     total = counted.groupBy("l", "g").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))
     model: dict[str, list[int]] = {}

@@ -597,3 +597,14 @@ def test_long_lines_of_few_common_words_are_not_compared(spark):
     rows.append(("short line", "another line", True))
     d = spark.createDataFrame(rows, "a string, b string, want boolean")
     assert [r["got"] for r in d.select(fuzzy_lines.alike(F.col("a"), F.col("b")).alias("got")).collect()] == [r[2] for r in rows]
+
+
+@pytest.mark.parametrize("large", [1, 4, 10_000])
+def test_languages_of_many_and_of_few_rows_are_learned_alike(spark, monkeypatch, large):
+    rows = [(i, ["aa", "bb", "cc", "dd", None][min(4, i % 9 // 2)], f"text {i * 7 % 13} of {'xyz'[i % 3] * (i % 4)}") for i in range(90)]
+    rows += [(90, "ee", "once only"), (91, "aa", None)]
+    d = spark.createDataFrame(rows, "_l long, lang string, text string")
+    want = rank_language.train(d, per_language=5)
+    monkeypatch.setattr(rank_language, "LARGE", large)
+    assert rank_language.train(d, per_language=5) == want and set(want) == {"aa", "bb", "cc", "dd", "ee"}
+    assert rank_language.train(d.where("lang = 'ff'")) == {}
