@@ -87,6 +87,25 @@ def test_hot_author_against_brute_force(spark):
     assert {(r["source_author"], r["panel"]) for r in panels} == want
 
 
+@pytest.mark.parametrize("vote", [lambda df: clean.run_cleaning(df, ["source"]), lambda df: clean.two_stage_vote(df, T0)])
+def test_votes_leave_texts_behind(spark, vote):
+    """Texts take no part in a vote: a query that does not use them does not read them."""
+    won = vote(results(spark, repeat("a", male=2, female=1)))
+    plan = won.select("source_author", "panel")._jdf.queryExecution().optimizedPlan().toString()
+    assert "match_content" not in plan
+    assert [r["match_content"] for r in won.collect()] == ["m"]
+
+
+def test_texts_of_rows_that_repeat_and_of_nulls(spark):
+    rows = [("1", "t", "a", "/male", T0, "s", "x"), ("1", "t", "a", "/male", T0, "s", "y"), ("1", "t", "a", "/male", T0, "s", None),
+            (None, "t", "b", "/male", T0, None, "z"), (None, "t", "b", "/male", T0, None, "z"), ("3", None, "c", "/male", None, "s", None)]
+    for source in ("src", None):
+        df = spark.createDataFrame(rows, schemas.RESULT).withColumn("source", F.lit(source))
+        for got in (clean.run_cleaning(df, ["source"]), clean.two_stage_vote(df, T0)):
+            assert {(r["id"], r["source_author"], r["source"], r["match_content"]) for r in got.collect()} == {
+                ("1", "a", source, "y"), (None, "b", source, "z"), ("3", "c", source, None)} and got.count() == 3
+
+
 def test_cleaning_counts_before_it_shuffles(spark):
     df = results(spark, repeat("a", male=1))
     plan = clean.run_cleaning(df, ["source"])._jdf.queryExecution().executedPlan().toString()
