@@ -226,6 +226,20 @@ def test_probabilities_sum_to_one():
     assert math.isclose(np.exp(plain_log_probability(attention_lm.unpack(flat), rng.integers(0, 99, 7))).sum(), 1, rel_tol=1e-9)
 
 
+def test_each_id_is_learned_once():
+    """The targets of a text's windows are its ids in order and its end, whatever its length; each behind what came before."""
+    encode, lead = attention_lm.Subwords(RANKS), attention_lm.OVERLAP + 1
+    for n in (0, 1, 3, 15, 16, 17, 400):
+        words = [b"word%d" % i for i in range(n)]
+        ids = [*encode.encode(words)[0].tolist(), encode.end]
+        windows = attention_lm.windows_of(words, encode, 7)
+        assert [i for w in windows for i in w[lead:].tolist() if i != attention_lm.NONE] == ids
+        held = [encode.end] * lead + ids
+        for k, w in enumerate(windows):
+            at = k * attention_lm.NEW
+            assert w[:lead].tolist() == held[at:at + lead]
+
+
 def test_gradient_by_differences():
     flat, rng = random_parameters(2)
     x = rng.integers(0, attention_lm.HEADS, (3, attention_lm.WINDOW + 1))
