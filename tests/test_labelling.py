@@ -239,3 +239,22 @@ def test_many_patterns_as_one_by_one(spark, n):
     if n < 100:
         rows = rule_join.match_patterns_by_join(df, frame).collect()
         assert {(r["id"], r["label"], r["n"]) for r in rows} == want
+
+
+def test_windows_only_where_a_word_may_begin(spark):
+    """Words that begin alike meet a text only by the whole word, and places are those of the text."""
+    long = "abcdefghijklmnopqrstuvwxyz" * 2
+    words = ["an", "ana", "nab", "😀b", "]^-", long[:16], long[:17], long[:40], "zz"]
+    texts = {"1": "banana]^-😀b", "2": long, "3": "", "4": None, "5": "an"}
+    posts = spark.createDataFrame(list(texts.items()), "id string, content string")
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    found = rule_join.find_words(posts, table, "word", "content", places=True)
+    want = {(i, w, p) for i, t in texts.items() for w in words for p in range(len(t or "")) if t.startswith(w, p)}
+    assert {(r["id"], r["word"], r["place"]) for r in found.collect()} == want
+    plain = rule_join.find_words(posts, table, "word", "content")
+    assert {(r["id"], r["word"]) for r in plain.collect()} == {(i, w) for i, w, _ in want}
+    # A word's anchor is the word itself, so words of one beginning do not meet each other's places.
+    anchors = table.select(rule_join._anchor(F.col("word")).alias("a")).collect()
+    assert [r["a"] for r in anchors] == ["an", "ana", "nab", "😀b", "]^-", long[:16], long[:16], long[:32], "zz"]
+    # Only places where a word may begin give a window.
+    assert rule_join._windows(table.where("word in ('ana', 'nab', ']^-')"), "word", [3]) == [(3, r"[\x{5D}\x{61}\x{6E}][\x{5E}\x{61}\x{6E}][\x{2D}\x{61}\x{62}]")]
