@@ -258,3 +258,14 @@ def test_windows_only_where_a_word_may_begin(spark):
     assert [r["a"] for r in anchors] == ["an", "ana", "nab", "😀b", "]^-", long[:16], long[:16], long[:32], "zz"]
     # Only places where a word may begin give a window.
     assert rule_join._windows(table.where("word in ('ana', 'nab', ']^-')"), "word", [3]) == [(3, r"[\x{5D}\x{61}\x{6E}][\x{5E}\x{61}\x{6E}][\x{2D}\x{61}\x{62}]")]
+
+
+@pytest.mark.parametrize("pattern", ["^th", "^", "tion[a-z]{0,3} the", "[.]\nthe", "(und|oder) die", "[0-9]{3}", "^a|b", "a$"])
+def test_pattern_found_as_the_expression_itself(spark, pattern):
+    from panelmill.functions.patterns import literal_start
+    from panelmill.functions.text import java_pattern
+    texts = ["the", "x the", "", None, "th", "nation the", "nations the", "x.\nthe", "und die", "a\nthe", "oder die 123", "ab", "ba"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(lab.pattern_found(F.col("t"), pattern).alias("a"), F.col("t").rlike(java_pattern(pattern)).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    assert literal_start(pattern) == ("th" if pattern == "^th" else "")
