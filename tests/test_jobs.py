@@ -196,3 +196,18 @@ def test_label_is_found_once_per_post(spark):
         rows = tasks.labelled_posts(fx.posts(spark, SF), s, fx.source_map(spark), matched_only=True)
         plan = tasks.slice_results(rows, s)._jdf.queryExecution().optimizedPlan().toString()
         assert sum(mark in line for line in plan.splitlines()) == 1, plan
+
+
+def test_stream_sinks_are_compressed(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from panelmill.streaming import labels as stream
+    spark.createDataFrame([("a", "x" * 50)], "task_id string, match_content string").write.parquet(f"{tmp_path}/in")
+    for name in ("one", "two"):
+        rows = spark.readStream.schema("task_id string, match_content string").parquet(f"{tmp_path}/in").selectExpr("*", "'s' AS source")
+        start = stream.start_labels if name == "one" else stream.start_table
+        start(rows, f"{tmp_path}/{name}", f"{tmp_path}/c_{name}").awaitTermination()
+        files = glob.glob(f"{tmp_path}/{name}/**/*.parquet", recursive=True)
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
