@@ -211,3 +211,14 @@ def test_stream_sinks_are_compressed(spark, tmp_path):
         start(rows, f"{tmp_path}/{name}", f"{tmp_path}/c_{name}").awaitTermination()
         files = glob.glob(f"{tmp_path}/{name}/**/*.parquet", recursive=True)
         assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
+def test_stored_posts_are_compressed(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from panelmill.catalog import panels
+    monkeypatch.setattr(panels.fx, "posts", lambda spark, sf: spark.createDataFrame([("1", "text " * 50)], "id string, content string"))
+    files = glob.glob(f"{panels.stored_job(spark, '').site['path']}/*.parquet")
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(1).compression for f in files if pq.ParquetFile(f).metadata.num_row_groups} == {"ZSTD"}
