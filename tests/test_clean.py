@@ -9,6 +9,7 @@ from panelmill.functions import slices
 from panelmill.operators import clean, metrics
 
 T0 = datetime(2024, 1, 1)
+KEYS = ["task_id", "source"]
 LABELS = ["/female", "/male", "/young"]
 
 
@@ -132,6 +133,30 @@ def test_any_number_of_panels_votes_alike(spark, n):
 
 
 # --- slices ---------------------------------------------------------------------------------
+def test_placed_rows_are_written_as_they_lie(spark, tmp_path, monkeypatch):
+    """Rows with the parts of their table are those without, a small part of them is in one place (a larger one in cells),
+    and the write shuffles them no more."""
+    from panelmill.sources import tables
+    rows = results(spark, [(f"a{i % 97}", "/male" if i % 3 else "/female", i / 7, None if i % 11 == 0 else f"{i // 2:04d}") for i in range(600)])
+    rows = rows.withColumn("source", F.concat(F.lit("s"), F.length("source_author"))).withColumn("match_content", F.when(F.col("id") > "0040", F.col("id")))
+    rows = rows.unionAll(rows.where("id < '0100'"))
+    for cell, places in ((1000, 1), (5, 2)):
+        monkeypatch.setattr(clean, "CELL", cell)
+        for vote in (clean.two_stage_vote, clean.slice_votes):
+            plain = vote(rows, T0, KEYS)
+            placed = vote(rows, T0, KEYS, parts=tables.PARTS)
+            assert Counter(placed.collect()) == Counter(plain.collect())
+            seen = placed.select("source", F.spark_partition_id().alias("at")).distinct().groupBy("source").count().collect()
+            assert len(seen) == 2 and (places > 1 or all(r["count"] == 1 for r in seen))
+    path = str(tmp_path / "rows")
+    tables.write_results(placed.drop("slice"), path, placed=True)
+    assert Counter(tables.read_results(spark, path).select(*KEYS, "id", "panel").collect()) == Counter(placed.select(*KEYS, "id", "panel").collect())
+    hints = []
+    monkeypatch.setattr(type(placed), "hint", lambda df, *a: hints.append(a) or df)
+    tables.write_results(placed.drop("slice"), path, placed=True)
+    tables.write_task(placed.drop("slice"), path, "t", placed=True)
+    assert not hints
+
 
 def sliced(spark, f, hours, at):
     df = spark.createDataFrame([(T0 + timedelta(hours=h),) for h in at], "post_time timestamp_ntz")
