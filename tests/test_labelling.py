@@ -269,3 +269,15 @@ def test_pattern_found_as_the_expression_itself(spark, pattern):
     rows = df.select(lab.pattern_found(F.col("t"), pattern).alias("a"), F.col("t").rlike(java_pattern(pattern)).alias("b")).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows]
     assert literal_start(pattern) == ("th" if pattern == "^th" else "")
+
+
+def test_term_counts_leave_stop_words_out_of_single_terms(spark):
+    """Texts with and without Han characters, upper case, accents, digits, single letters, no word and no text."""
+    from panelmill.operators import features
+    rows = [("1", "The cat, the ÉTÉ x 7 42"), ("2", "我愛 the 台灣人 cat_1"), ("3", "-- a b"), ("4", None), ("1", "cat")]
+    df = spark.createDataFrame(rows, "id string, content string")
+    counts = features.term_counts(df, "content", ["the", "愛"])
+    assert sorted(tuple(r) for r in counts.collect()) == sorted([
+        ("1", "cat", 2), ("1", "été", 1), ("1", "42", 1), ("2", "我愛", 1), ("2", "台灣", 1), ("2", "灣人", 1), ("2", "台灣人", 1), ("2", "cat_1", 1)])
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Filter" in line and "the" in line for line in plan.split("\n"))
