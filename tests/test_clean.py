@@ -158,6 +158,24 @@ def test_placed_rows_are_written_as_they_lie(spark, tmp_path, monkeypatch):
     assert not hints
 
 
+def test_written_rows_are_found_where_they_lie(spark, monkeypatch):
+    """With a part's rows in large numbers, texts are not shuffled for the write, and the rows are those of the shuffle:
+    also those that pass a bit table by chance, that repeat, and that have nulls."""
+    from panelmill.sources import tables
+    rows = results(spark, [(f"a{i % 1500}", "/male" if i % 7 else "/female", i / 40, None if i % 11 == 0 else f"{i:05d}") for i in range(9000)])
+    rows = rows.withColumn("source", F.lit("s")).withColumn("match_content", F.when(F.col("id") > "00040", F.concat("id", F.lit("x"))))
+    again = rows.unionAll(rows.where("id > '08000'")).unionAll(rows.where("id > '08500'").withColumn("match_content", F.lit("z")))
+    for cell, shuffled in ((10**6, True), (10, False)):
+        monkeypatch.setattr(clean, "CELL", cell)
+        for df in (rows, again):
+            votes = clean.two_stage_vote(df, T0, KEYS, parts=tables.PARTS), clean.run_cleaning(df, KEYS, few=True, parts=tables.PARTS)
+            for got, want in zip(votes, (clean.two_stage_vote(df, T0, KEYS), clean.run_cleaning(df, KEYS, few=True))):
+                assert Counter(got.collect()) == Counter(want.collect()) and got.count() > 1000
+            if df is rows:
+                plan = votes[0]._jdf.queryExecution().optimizedPlan().toString()
+                assert ("Repartition" in plan) == shuffled
+
+
 def sliced(spark, f, hours, at):
     df = spark.createDataFrame([(T0 + timedelta(hours=h),) for h in at], "post_time timestamp_ntz")
     out = f(df, T0, T0 + timedelta(hours=hours))
