@@ -176,6 +176,20 @@ def test_written_rows_are_found_where_they_lie(spark, monkeypatch):
                 assert ("Repartition" in plan) == shuffled
 
 
+def test_last_production_leaves_texts_where_they_lie(spark, monkeypatch):
+    from panelmill.plans import dump
+    rows = results(spark, [(f"a{i % 900}", "/male" if i % 3 else "/female", i / 40, f"{i:05d}") for i in range(3000)])
+    rows = rows.withColumn("source", F.lit("s")).withColumn("match_content", F.col("id"))
+    groups = spark.createDataFrame([("s", "g")], schemas.PRODUCTION_GROUP)
+    seen = []
+    for cell in (10**6, 10):
+        monkeypatch.setattr(clean, "CELL", cell)
+        got = dump.last_production(rows, groups)
+        assert ("Repartition" in got._jdf.queryExecution().optimizedPlan().toString()) == (cell > 10)
+        seen.append(Counter(got.collect()))
+    assert seen[0] == seen[1] and sum(seen[0].values()) == 900
+
+
 def sliced(spark, f, hours, at):
     df = spark.createDataFrame([(T0 + timedelta(hours=h),) for h in at], "post_time timestamp_ntz")
     out = f(df, T0, T0 + timedelta(hours=hours))
