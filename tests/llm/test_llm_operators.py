@@ -608,3 +608,20 @@ def test_languages_of_many_and_of_few_rows_are_learned_alike(spark, monkeypatch,
     monkeypatch.setattr(rank_language, "LARGE", large)
     assert rank_language.train(d, per_language=5) == want and set(want) == {"aa", "bb", "cc", "dd", "ee"}
     assert rank_language.train(d.where("lang = 'ff'")) == {}
+
+
+def test_lines_that_lengths_tell_apart_get_no_texts(spark, monkeypatch):
+    """Lines that hold another one and as much again share blocks with it, and are not sent to be compared."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = []
+    for _ in range(20):
+        w = [word() for _ in range(30)]
+        lines += [" ".join(w), " ".join(w + [word() for _ in range(20)]), " ".join(w[:-1] + [word()])]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    found = fuzzy_lines._lines(d, "doc_id", "text")
+    size = {r["h"]: r["n"] for r in found.select(*fuzzy_lines._hashes(), F.length("norm").alias("n")).collect()}
+    sent, verified = [], fuzzy_lines._verified
+    monkeypatch.setattr(fuzzy_lines, "_verified", lambda pairs, *a: sent.extend(pairs.collect()) or verified(pairs, *a))
+    links = fuzzy_lines.line_links(d, fuzzy_lines.simhashed(found), "doc_id", "text").distinct().count()
+    assert links >= 15 and all(abs(size[r["a"]] - size[r["b"]]) <= 0.2 * max(size[r["a"]], size[r["b"]]) + 1e-9 for r in sent)
