@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelmill.llm import (chosen_path, components, fingerprint, fuzzy_lines, html_text, mixing, packing, pii, quality, queries,
                            rank_language, token_count)
+from panelmill.session import materialize
 
 SF = "/root/testdata/sf0.001"
 EDGE = [(1, "one two three four five six", "en", "a", 1), (2, None, None, None, None), (None, "", "en", "a", 0),
@@ -625,3 +627,83 @@ def test_lines_that_lengths_tell_apart_get_no_texts(spark, monkeypatch):
     monkeypatch.setattr(fuzzy_lines, "_verified", lambda pairs, *a: sent.extend(pairs.collect()) or verified(pairs, *a))
     links = fuzzy_lines.line_links(d, fuzzy_lines.simhashed(found), "doc_id", "text").distinct().count()
     assert links >= 15 and all(abs(size[r["a"]] - size[r["b"]]) <= 0.2 * max(size[r["a"]], size[r["b"]]) + 1e-9 for r in sent)
+
+
+def links_of_lines(spark, lines):
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    found = fuzzy_lines._lines(d, "doc_id", "text").cache()
+    name = {r["h"]: r["norm"] for r in found.select(*fuzzy_lines._hashes(), "norm").collect()}
+    with_blocks = fuzzy_lines.simhashed(found)
+    blocks = {name[r["h"]]: set(r["sim"]) for r in with_blocks.collect()}
+    return [(name[r["a"]], name[r["b"]]) for r in fuzzy_lines.line_links(d, with_blocks, "doc_id", "text").collect()], blocks
+
+
+def groups_of(lines, links):
+    root = {x: x for x in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return {frozenset(x for x in lines if find(x) == r) for r in map(find, lines)}
+
+
+def test_all_pairs_that_share_a_block_are_linked(spark):
+    """Chains of lines, each near the next only, and lines that share a block by chance: judged by edits of all pairs in a block."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    lines = []
+    for _ in range(6):
+        kept = [word() for _ in range(8)]
+        for _ in range(3):  # chains that share a third of their words
+            w = kept + [word() for _ in range(16)]
+            for _ in range(9):
+                lines.append(" ".join(w))
+                for at in rng.sample(range(8, 24), 3):
+                    w[at] = word()
+    got, blocks = links_of_lines(spark, lines)
+    want = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if blocks[a] & blocks[b] and near_enough(a, b)]
+    assert groups_of(lines, got) == groups_of(lines, want)
+
+
+def test_long_lines_whose_words_all_differ_by_a_letter_are_linked(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(60)]
+    # Three words in a row of their hashes stay as they are, and give the block that both lines have.
+    h = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w")).collect()}
+    one = " ".join(words)
+    for at in range(58):
+        kept = sorted(words, key=h.get)[at:at + 3]
+        other = " ".join(w if w in kept else "k" + w[1:] for w in words)
+        b = spark.createDataFrame([(one,), (other,)], "l string").select(fuzzy_lines.blocks(F.col("l")).alias("b")).collect()
+        if set(b[0]["b"]) & set(b[1]["b"]):
+            break
+    assert near_enough(one, other) and not spark.range(1).select(fuzzy_lines.alike(F.lit(one), F.lit(other))).first()[0]
+    assert [set(x) for x in links_of_lines(spark, [one, other])[0]] == [{one, other}]
+
+
+@pytest.mark.parametrize("crowd", [0, 8])
+def test_large_groups_that_share_a_block_are_linked_in_any_turn(spark, monkeypatch, crowd):
+    monkeypatch.setattr(fuzzy_lines, "CROWD", crowd)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    kept, lines = [word() for _ in range(6)], []
+    for _ in range(3):
+        w = kept + [word() for _ in range(19)]
+        lines += [" ".join(w)] + [" ".join(w[:i] + [word()] + w[i + 1:]) for i in range(6, 25)]
+    got, blocks = links_of_lines(spark, lines)
+    want = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if blocks[a] & blocks[b] and near_enough(a, b)]
+    assert groups_of(lines, got) == groups_of(lines, want)
+
+
+def test_work_tables_are_emptied(spark):
+    top = Path(materialize(spark.range(1)).inputFiles()[0].removeprefix("file:")).parents[1]
+    before = set(top.iterdir())
+    d = spark.createDataFrame([(i, f"line {i % 7} of some words here\nother words {i % 5} of it") for i in range(60)], "doc_id long, text string")
+    assert fuzzy_lines.dedup_lines(d).where("n_removed = 0").count() > 0
+    made = [p for p in top.iterdir() if p not in before]
+    full = {p.name.split("-")[1] for p in made if spark.read.parquet(str(p)).columns != ["id"]}
+    assert len(made) > 8 and full == {"later", "touched"}
