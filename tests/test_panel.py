@@ -1,3 +1,5 @@
+import glob
+import time
 from datetime import datetime
 
 import pytest
@@ -6,7 +8,8 @@ from pyspark.sql import functions as F
 from panelmill import schemas
 from panelmill.operators import audit, metrics, panel
 from panelmill.plans import dump
-from panelmill.sources import rules
+from panelmill.session import CLEANUP, materialize
+from panelmill.sources import rules, tables
 
 OLD, NOW = datetime(2023, 1, 1), datetime(2024, 2, 1)
 
@@ -134,3 +137,19 @@ def test_group_filter_reaches_the_scan(spark, tmp_path):
     df = tables.task_rows(tables.read_results(spark, str(tmp_path / "r")), "t1")
     assert [r["id"] for r in df.collect()] == ["1"]
     assert "PartitionFilters: [isnotnull(task_id" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path):
+    """Neither results nor work tables leave what was shuffled for them."""
+    files = lambda: {f for f in glob.glob(f"{spark.sparkContext.getConf().get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*.data")}
+    rows = spark.createDataFrame([("i", "a", "p", datetime(2021, 1, 1), "f", "m", "t", "s")], "id string, source_author string, panel string, "
+                                 "create_time timestamp_ntz, field_content string, match_content string, task_id string, source string")
+    before = files()
+    tables.write_results(rows, str(tmp_path / "r"))
+    materialize(spark.range(1000).groupBy(F.col("id") % 7).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and tables.read_results(spark, str(tmp_path / "r")).count() == 1
+    assert spark.conf.get(CLEANUP) == "false"
